@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_lang_id, queries_mixing
+from . import queries_bpe, queries_lang_id, queries_mixing
 
-_MODULES = (queries_lang_id, queries_mixing)
+_MODULES = (queries_bpe, queries_lang_id, queries_mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
