@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_bpe, queries_lang_id, queries_mixing, queries_quality
+from . import queries_bpe, queries_lang_id, queries_mixing, queries_quality, queries_sharding
 
-_MODULES = (queries_bpe, queries_lang_id, queries_mixing, queries_quality)
+_MODULES = (queries_bpe, queries_lang_id, queries_mixing, queries_quality, queries_sharding)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
