@@ -71,10 +71,10 @@ def fit(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -
     Of each language a sample is counted whose expected number of whole documents is at most docs_per_language, chosen
     by the hash of key, so what reaches the driver is bounded whatever the size of the corpus.
     """
-    per = labelled.groupBy("lang").count()
-    chance = per.select(F.col("lang").alias("_lang"), (F.lit(float(docs_per_language)) / F.col("count")).alias("_share"))
+    per = labelled.groupBy("lang").count().collect()  # a row per language, as the model has a column per language
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    picked = labelled.join(chance, F.col("lang") == F.col("_lang")).where(draw < F.col("_share"))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in per for x in (r["lang"], docs_per_language / r["count"])]), F.col("lang")) if per else F.lit(0.0)
+    picked = labelled.where(draw < share)
     return build(count_grams(picked).toPandas())
 
 
