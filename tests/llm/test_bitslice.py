@@ -1,0 +1,49 @@
+import numpy as np
+import pytest
+
+from lexhound.llm.bitslice import Block, naf, top_k
+
+
+def brute(ids, values, query_id, query, k):
+    rows = [(-int(np.dot(v.astype(object), query.astype(object))), int(i)) for i, v in zip(ids, values, strict=True) if i != query_id]
+    return [(i, -s) for s, i in sorted(rows)[:k]]
+
+
+def test_naf():
+    v = np.arange(-300, 300)
+    digits = naf(v)
+    assert (sum(d.astype(int) << j for j, d in enumerate(digits)) == v).all()
+    assert all(not (a.astype(bool) & b.astype(bool)).any() for a, b in zip(digits, digits[1:], strict=False))
+
+
+@pytest.mark.parametrize("dropped", [0, 1, 3, 9])
+@pytest.mark.parametrize(("n", "dim", "spread", "k"), [(1, 3, 5, 2), (63, 1, 1, 5), (64, 4, 2, 64), (500, 8, 40, 20), (1000, 16, 3000, 7), (200, 5, 1, 20)])
+def test_block_is_exact(n, dim, spread, k, dropped):
+    rng = np.random.default_rng(n + dim)
+    ids, values = rng.permutation(n * 2)[:n].astype(np.int64), rng.integers(-spread, spread, (n, dim))
+    block = Block(ids, values)
+    a, b, c, bits = block.pack()
+    block = Block.unpack(dim, bits, a, b, c)
+    for q in range(0, n, max(1, n // 5)):
+        got = block.top(int(ids[q]), values[q], k, dropped)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == brute(ids, values, ids[q], values[q], k)
+
+
+def test_frames(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)], "e", 1) for i in range(90)]
+    rows += [(5, rows[5][1], "repeated", 1), (100, None, "null", 1), (101, [1.0, None, 1.0, 1.0, 1.0, 1.0], "null in it", 1), (102, [float("nan")] * 6, "", 1), (103, [float("inf")] * 6, "", 1)]
+    rows += [(120, [0.0] * 6, "ties", 1), (140, [1.0, 2.0], "other size", 1), (None, [1.0] * 6, "no id", 1), (160, [], "empty", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, part int")
+    got = top_k(df, df.where("vec_id % 20 = 0"), 20).collect()
+    valid = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v, *_ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in valid:
+        if q % 20:
+            continue
+        same = [(i, x) for i, x in valid if len(x) == len(v)]
+        want = brute([i for i, _ in same], [x for _, x in same], q, v, 20)
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert {r["query_id"] for r in got} == {0, 20, 40, 60, 80, 120}
+    assert top_k(df.limit(0), df.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="too large"):
+        top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), df, 3).count()
