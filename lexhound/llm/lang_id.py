@@ -185,10 +185,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    text = F.when(has_letter, F.col(text_col)).otherwise(F.lit(""))
+    has_letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
+    text = F.when(has_letter, F.col(f"`{text_col}`")).otherwise(F.lit(""))
     # positions, not names, so that no column of docs can clash
-    kept = [F.col(c).alias(f"k{n}") for n, c in enumerate(keep)]
+    kept = [F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)]
     source = docs.select(*kept, text.alias("text"))
     fields = [*(T.StructField(f"k{n}", docs.schema[c].dataType) for n, c in enumerate(keep)), *(T.StructField(a, b) for a, b in SCHEMA_FIELDS)]
 
@@ -215,3 +215,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     got = source.mapInArrow(run, T.StructType(fields))
     return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), *(a for a, _ in SCHEMA_FIELDS))
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, columns as they are, whose text is in a language of the model with at least that score.
+
+    Null, empty and letterless texts are in none and go. Repeated rows are judged each.
+    """
+    base = docs.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)))
+    got = predict(base, model, base.columns, f"c{docs.columns.index(text_col)}")
+    got = got.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return got.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)))

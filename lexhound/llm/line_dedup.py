@@ -320,11 +320,12 @@ def dedup_lines(docs: DataFrame, close: Closeness = Closeness(), text_col: str =
     """
     text = F.col(f"`{text_col}`")
     found = line_classes(docs, close, text_col, id_col, hot)
-    gone = found.where(~F.col("kept")).groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    gone = found.where(~F.col("kept")).groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
     names = docs.columns
     base = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(names)), F.xxhash64(F.col(f"`{id_col}`"), text.cast("string")).alias("row"))
     body = F.col(f"k{names.index(text_col)}")
-    joined = base.join(gone, "row", "left")
+    same = (base["row"] == gone["row"]) & base[f"k{names.index(id_col)}"].eqNullSafe(gone["doc_id"])
+    joined = base.join(gone, same, "left").drop(gone["row"], gone["doc_id"])
     stays = F.filter(F.split(body, "\n"), lambda x, i: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("gone"), i))
     left = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(stays, "\n"))
     joined = joined.withColumn("left", left)

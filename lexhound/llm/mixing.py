@@ -40,8 +40,19 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     return s.select("source", "source_size", "source_rank", F.least(target, F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3) -> DataFrame:
-    """How often the mix takes each document: the rows of docs (doc_id, text, source) with size, source_size, target, taken.
+def _sizes(docs: DataFrame, text_col: str, id_col: str, source_col: str, *more) -> DataFrame:
+    doc_id = F.col(f"`{id_col}`")
+    return docs.select(
+        doc_id.alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("h"),
+        *more,
+    )
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """How often the mix takes each document: a row (doc_id, source, size, source_size, target, taken) for each of docs.
 
     A source's documents are shuffled by the MD5 of their id; copy e of a document ends, in its source's virtual time, at
     (e * source size + cumulative size) / target. All copies are put in order of that time and those taken whose sizes
@@ -52,20 +63,30 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: in
     Repeated rows are documents of their own; of rows with one doc_id the smaller comes first. Other columns are not
     read. No rows in, no rows out. Results depend on the rows alone, not on their order or partitioning.
     """
-    base = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"),
-    )
-    return mix_sizes(materialise(base, "mix-sizes"), weights, max_epochs, hash_digits)
+    return mix_sizes(materialise(_sizes(docs, text_col, id_col, source_col), "mix-sizes"), weights, max_epochs, hash_digits)
+
+
+def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix() takes it; those that it doesn't take are gone.
+
+    The columns are those of docs. Rows that are alike in id and text stand for each other: their copies come together.
+    """
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    got = mix_sizes(materialise(_sizes(docs, text_col, id_col, source_col, row), "mix-sizes"), weights, max_epochs, hash_digits)
+    copies = got.where("taken > 0").groupBy("doc_id", "row").agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("copies"))
+    names = docs.columns
+    base = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(names)), row)
+    same = (base["row"] == copies["row"]) & base[f"k{names.index(id_col)}"].eqNullSafe(copies["doc_id"])
+    met = base.join(copies, same).drop(copies["row"]).dropDuplicates(["row", f"k{names.index(id_col)}"])
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return met.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(names)))
 
 
 def mix_sizes(base: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3) -> DataFrame:
     """mix() for rows (doc_id, source, size, h); further columns are kept."""
     part = F.substring("h", 1, hash_digits)
-    base = base.withColumn("part", part).withColumn("source_key", F.concat(F.lit("s"), F.col("source")))
-    base = base.withColumn("source_key", F.coalesce("source_key", F.lit("")))
+    keep = [c for c in base.columns if c != "h"]
+    base = base.withColumn("part", part).withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     sums = base.groupBy("source_key", "part").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
     ahead = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source_key", "part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("start"))
@@ -75,7 +96,8 @@ def mix_sizes(base: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digi
     starts = starts.join(targets, "source_key")
     within = Window.partitionBy("source_key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ranked = base.withColumn("cum", F.sum("size").over(within)).join(starts, ["source_key", "part"])
-    ranked = ranked.withColumn("cum", F.col("cum") + F.col("start"))
+    ranked = ranked.select(*keep, "h", "source_size", "source_rank", "target", (F.col("cum") + F.col("start")).alias("cum"))
+    ranked = materialise(ranked, "mix-ranked")
 
     def ends(epoch):
         return (F.lit(epoch).cast("long") * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")
@@ -83,29 +105,34 @@ def mix_sizes(base: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digi
     def place(epoch):
         return F.struct(ends(epoch).alias("ends"), "source_rank", "h", "size")
 
+    def time_range(at):
+        return F.least(F.floor(at * TIME_RANGES), F.lit(4 * TIME_RANGES)).cast("long")
+
     some = (F.col("size") > 0) & (F.col("target") > 0)
     copies = ranked.where(some).select(F.explode(F.array(*[place(e) for e in range(max_epochs)])).alias("place"), "size")
-    copies = copies.withColumn("slice", F.least(F.floor(F.col("place.ends") * TIME_RANGES), F.lit(4 * TIME_RANGES)).cast("long"))
-    budget = sums.agg(F.sum("size").alias("budget"))
+    copies = copies.withColumn("slice", time_range(F.col("place.ends")))
     # at most 4 * TIME_RANGES + 1 rows in this window
     in_time = Window.partitionBy(F.lit(0)).orderBy("slice")
     slices = copies.groupBy("slice").agg(F.sum("size").alias("size"))
-    slices = slices.select("slice", F.sum("size").over(in_time).alias("upto"), "size")
-    over = slices.crossJoin(F.broadcast(budget)).where("upto > budget").agg(
-        F.min(F.struct("slice", (F.col("upto") - F.col("size")).alias("upto"), "budget")).alias("over")
-    )
-    # the slice in which the budget ends; its copies alone need an order among themselves
-    last = copies.join(F.broadcast(over), F.col("slice") == F.col("over.slice"))
-    here = Window.partitionBy("slice").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("upto", F.sum("size").over(here) + F.col("over.upto"))
-    edge = last.where("upto <= over.budget").agg(F.max("place").alias("edge"))
-    cut = over.crossJoin(F.broadcast(edge))  # one row each
-    ranked = ranked.crossJoin(F.broadcast(cut))
-
-    def takes(epoch):
-        before = F.floor(ends(epoch) * TIME_RANGES) < F.col("over.slice")
-        return (some & (F.col("over").isNull() | before | F.coalesce(place(epoch) <= F.col("edge"), F.lit(False)))).cast("long")
-
-    times = sum((F.coalesce(takes(e), F.lit(0)) for e in range(1, max_epochs)), F.coalesce(takes(0), F.lit(0)))
-    keep = [c for c in base.columns if c not in ("h", "part", "source_key")]
-    return ranked.withColumn("taken", F.col("size") * times).select(*keep, "source_size", "target", "taken")
+    slices = slices.select("slice", "size", F.sum("size").over(in_time).alias("upto"))
+    budget = ranked.agg(F.sum("size")).first()[0] or 0
+    # the range in which the budget ends; its copies alone need an order among themselves
+    over = slices.where(F.col("upto") > budget).agg(F.min(F.struct("slice", (F.col("upto") - F.col("size")).alias("before")))).first()[0]
+    if over is None:
+
+        def taken(epoch):
+            return some
+    else:
+        here = Window.partitionBy("slice").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        last = copies.where(F.col("slice") == over["slice"]).withColumn("upto", F.sum("size").over(here) + over["before"])
+        edge = last.where(F.col("upto") <= budget).agg(F.max("place")).first()[0]
+
+        def taken(epoch):
+            fits = time_range(ends(epoch)) < over["slice"]
+            if edge is not None:
+                last = F.struct(*(F.lit(edge[c]).cast(t) for c, t in (("ends", "double"), ("source_rank", "int"), ("h", "string"), ("size", "long"))))
+                fits = fits | (place(epoch) <= last)
+            return some & fits
+
+    times = sum((taken(e).cast("long") for e in range(1, max_epochs)), taken(0).cast("long"))
+    return ranked.select(*keep, "source_size", "target", (F.col("size") * F.coalesce(times, F.lit(0))).alias("taken"))

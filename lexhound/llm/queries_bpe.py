@@ -8,16 +8,17 @@ from .bpe import decode, encode
 from .common import table
 
 
-def digests(docs, path=None, pattern=None):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows (doc_id, text)."""
+def tokens(docs, keep, path=None, pattern=None):
+    """keep columns of docs, ids, n_tokens, ids_sha256, decoded_sha256 of rows that have a text."""
     if path is None or pattern is None:
         import public_tokenizers
 
         path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    got = decode(encode(docs.select("doc_id", "text"), path, pattern), path)
+    got = decode(encode(docs.select(*keep, "text"), path, pattern), path)
     words = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return got.select(
-        "doc_id",
+        *keep,
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(words.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -25,7 +26,7 @@ def digests(docs, path=None, pattern=None):
 
 
 def op3_bpe(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents"))
+    return tokens(table(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
 
 
 QUERIES = {"op3_bpe": op3_bpe}

@@ -137,6 +137,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 def link(marked: DataFrame) -> DataFrame:
     """near_duplicates() for rows (doc_id, fp)."""
+    return marked.join(_labels(marked), "fp").select("doc_id", "fp", F.col("n_near").cast("long"), "component_id")
+
+
+def _labels(marked: DataFrame) -> DataFrame:
+    """(fp, n_near, component, component_id) of each fingerprint of (doc_id, fp); component: its least fingerprint."""
     nodes = materialise(marked.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "simhash-nodes")
     pairs = materialise(near_pairs(nodes.select("fp")), "simhash-pairs")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -145,12 +150,22 @@ def link(marked: DataFrame) -> DataFrame:
     member = components(pairs).select(F.col("node").alias("fp"), "component")
     graph = nodes.join(degree, "fp", "left").join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = graph.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = graph.join(least, "component").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return marked.join(labelled, "fp").select("doc_id", "fp", F.col("n_near").cast("long"), "component_id")
+    near = F.col("copies") - 1 + F.coalesce("near", F.lit(0))
+    return graph.join(least, "component").select("fp", near.alias("n_near"), "component", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs of which each component has one left: that with the smallest id (of rows with that id, any one)."""
-    got = near_duplicates(docs, text_col, id_col)
-    gone = got.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """docs with one row left of each component: that with the smallest id, nulls last, and of such rows any one.
+
+    The columns are those of docs. Null and empty texts, and all without a word, are near duplicates of each other.
+    """
+    names = docs.columns
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row)
+    marked = materialise(fingerprints(own, ["doc_id", "row"]), "simhash")
+    whole = marked.join(_labels(marked).select("fp", "component"), "fp")
+    heads = whole.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("head")).select("head.doc_id", "head.row")
+    base = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(names)), row)
+    key = f"k{names.index(id_col)}"
+    stay = base.join(heads, (base["row"] == heads["row"]) & base[key].eqNullSafe(heads["doc_id"]), "left_semi").dropDuplicates(["row", key])
+    return stay.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(names)))

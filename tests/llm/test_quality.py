@@ -1,0 +1,65 @@
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lexhound.llm.quality import STATS, anomaly, calibrate, fit, grow, judge, rule_stats, text_stats
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def texts():
+    rng = random.Random(3)
+    got = ["", None, " \n\t", "a b \x85 c", "# * $", "a b c d e f a b c d e", "x " * 30, "same line\nsame line\n\n \nother", "été 😀 |<>"]
+    return got + ["".join(rng.choice(["ab", "c", "é", " ", " ", "\n", "#"]) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+
+
+def test_stats(spark):
+    given = texts()
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(given)], "doc_id long, text string, n_words string")
+    got = {r["doc_id"]: r for r in rule_stats(df, ["doc_id"]).collect()}
+    for k, t in enumerate(given):
+        assert tuple(got[k][s] for s in STATS[:5]) == brute(t), t
+    raw = ("word " * 300_000).encode()
+    assert text_stats(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0, 0] == 300_000
+    assert rule_stats(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_forest_isolates_outliers():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    forest = grow(x, x.min(0) - 3, x.max(0) + 3)
+    far = rng.normal(size=(50, 4)) + 6
+    assert np.median(anomaly(forest, far)) > np.quantile(anomaly(forest, x), 0.99)
+    score, good = np.array([0.1, 0.2, 0.3, 0.9]), np.array([True, True, True, False])
+    t = calibrate(score, good)
+    assert 0.3 < t < 0.9 and calibrate(score, np.ones(4, bool)) > 0.9 and calibrate(np.zeros(0), np.zeros(0, bool)) == 1.0
+
+
+def test_verdicts(spark):
+    rng = random.Random(4)
+    words = ["the", "of", "house", "river", "and", "stone", "old"]
+    good = [" ".join(rng.choice(words) + rng.choice(["", "", ","]) for _ in range(80)) + "." for _ in range(300)]
+    bad = [" ".join(rng.choice(words) + "###$$" for _ in range(80)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(good + bad)] + [(1000, None), (1001, "few words"), (1001, "few words"), (None, good[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in range(0, 360, 3)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    stats = rule_stats(docs, ["doc_id"])
+    got = judge(stats, fit(stats, labels))
+    kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in got.collect()}
+    assert sum(kept[k] == (False, True) for k in range(300)) >= 290
+    assert sum(kept[k][1] for k in range(300, 360)) <= 6
+    assert kept[1000] == (True, False) and kept[1001] == (True, False) and kept[None] == (False, True)
+    assert got.count() == len(rows)
+    none = stats.limit(0)
+    assert judge(none, fit(none, labels.limit(0))).count() == 0
+    assert judge(stats, fit(stats, labels.limit(0))).where(F.col("kept") != ~F.col("base_failed")).count() == 0
