@@ -1,0 +1,106 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from lexhound.plans.parser import InputEmpty, LiteralRule, NotEnoughArguments, NotPrefix, Op, ParseError, ParseOptions, parse
+from lexhound.plans.query_tree import And, Not, Or, Word, part
+
+A, B, C, D = map(Word, ("ash", "birch", "cedar", "deal"))
+TREES = {
+    "ash birch": And(A, B),
+    "ash birch cedar deal": And(And(And(A, B), C), D),
+    "not ash": Not(A),
+    "or": Word("or"),
+    "for me": And(Word("for"), Word("me")),
+    "ash and birch or cedar": Or(And(A, B), C),
+    "ash birch or cedar": Or(And(A, B), C),
+    "cedar or ash and birch": Or(C, And(A, B)),
+    "a or b and c and d": Or(Word("a"), And(And(Word("b"), Word("c")), Word("d"))),
+    "(ash or birch) and cedar": And(Or(A, B), C),
+    "cedar (birch or ash) ": And(C, Or(B, A)),
+    " (ash or birch)  (cedar or deal)))": And(Or(A, B), Or(C, D)),
+    "ash -(birch or cedar)": And(A, Not(Or(B, C))),
+    "ash - (birch or cedar)": And(A, Not(Or(B, C))),
+    "not": Word("not"),
+    "or ash": And(Word("or"), A),
+    "(or (ash))": And(Word("or"), A),
+    "ash and not birch or cedar": Or(And(A, Not(B)), C),
+    "ash or not birch or cedar": Or(Or(A, Not(B)), C),
+    "cedar not deal or ash and not birch or cedar": Or(Or(And(C, Not(D)), And(A, Not(B))), C),
+    "ash !birch": And(A, Not(B)),
+    "-ash birch": And(Not(A), B),
+    "not ash birch": And(Not(A), B),
+    "ash -birch": And(A, Not(B)),
+    "ash.com": Word("ashcom"),
+    "next-generation ash": And(And(Word("next"), Word("generation")), A),
+    "ASH And Birch OR cedar": Or(And(A, B), C),
+    "ash birch": And(A, B),
+    # tolerated
+    "ash or ": A,
+    "not not ash": Not(A),
+    "ash not ": A,
+    "a and or b": Or(Word("a"), Word("b")),
+    "ash  ,  birch": And(A, B),
+    "a--b": And(Word("a"), Word("b")),
+    # nothing is lost or glued
+    "(ash)birch cedar": And(And(A, B), C),
+    "ash (birch": And(A, B),
+    "ash and (birch cedar)": And(A, And(B, C)),
+    "(ash)(birch)": And(A, B),
+    "cedar or (ash or birch) and deal": And(Or(C, Or(A, B)), D),
+}
+
+
+@pytest.mark.parametrize("text", TREES)
+def test_trees(text):
+    assert parse(text) == TREES[text]
+    assert parse(text).equal_in_order(TREES[text])
+
+
+def test_order():
+    assert parse("cedar or ash and birch") == parse("ash birch or cedar")
+    assert not parse("cedar or ash and birch").equal_in_order(parse("ash birch or cedar"))
+    assert hash(And(A, B)) == hash(And(B, A)) and And(A, B) != Or(A, B) and And(A, B).swapped().left == B
+
+
+@pytest.mark.parametrize("text", ["", " ", " (  ) ", ".", "ash ()"])
+def test_empty(text):
+    with pytest.raises(InputEmpty):
+        parse(text)
+
+
+@pytest.mark.parametrize("text", ["not ", "-", "ash (-)"])
+def test_not_enough(text):
+    with pytest.raises(NotEnoughArguments):
+        parse(text)
+
+
+def test_rules():
+    own = ParseOptions().populate_literals().insert(LiteralRule("eller", Op.OR)).populate_not().populate_and_space()
+    assert parse("ash eller birch", own) == Or(A, B)
+    assert parse("ash +birch", ParseOptions.default().insert(NotPrefix("+"))) == And(A, Not(B))
+    assert parse("ash -birch", ParseOptions()) == Word("ashbirch")
+    assert Op.AND.binary and not Op.NOT.binary
+
+
+def test_tree_helpers():
+    tree = (part("a") & "b") | ~part("c")
+    seen = []
+    tree.for_each_word(seen.append)
+    assert seen == tree.words() == ["a", "b", "c"] and str(tree) == "((a AND b) OR (NOT c))"
+    nodes = []
+    tree.for_each(nodes.append)
+    assert len(nodes) == 6
+
+
+@pytest.mark.parametrize("text", [t for t in TREES if "or" != t.strip() and "not" != t.strip() and "or ash" not in t and "(or (" not in t])
+def test_what_is_shown_parses_again(text):
+    assert parse(str(parse(text))) == parse(text)
+
+
+@given(st.text(alphabet="ab -()!.nortdé", max_size=30))
+def test_any_text_parses_or_fails_cleanly(text):
+    try:
+        assert parse(text).words()
+    except ParseError:
+        pass
