@@ -192,7 +192,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _groups(texts: list[str | None], limit: int = 1 << 21):
+def _groups(texts: list[str | None], limit: int = 1 << 20):
     group, size = [], 0
     for t in texts:
         group.append(t)
@@ -204,17 +204,41 @@ def _groups(texts: list[str | None], limit: int = 1 << 21):
         yield group
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
+def _token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes by id, where each starts, and its size (0: no such id)."""
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, r in ranks.items():
+        tokens[r] = t
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), sizes
+
+
+def _bytes_of(ids: np.ndarray, upto: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The bytes that ids[upto[k]:upto[k + 1]] stand for, for each k."""
+    data, start, size = table
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or (size[ids] == 0).any()):
+        raise ValueError("ids outside the vocabulary")
+    n = size[ids]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    raw = data[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])] if len(ids) else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(upto) - 1, [None, pa.py_buffer(ends[upto].astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids", decoded_into: str | None = None) -> DataFrame:
     """docs without text_col, with the ids (array<int>) of its whole text; null and empty texts have none.
 
+    With decoded_into, also the bytes that decode() makes of the ids, in the same pass.
+
     Each match of pattern is encoded by itself by the ranks in the file at path, without special tokens; characters
     between matches are left out, as in the public libraries. A column of docs that is called as into is replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(build_vocabulary(read_ranks(path)))  # bounded: the vocabulary
-    keep = [c for c in docs.columns if c not in (text_col, into)]
-    source = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
+    keep = [c for c in docs.columns if c not in (text_col, into, decoded_into)]
+    source = docs.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    if decoded_into:
+        schema.add("decoded", T.BinaryType())
     key = f"{path}\0{pattern}"
 
     def run(batches):
@@ -222,6 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
             _encoders.clear()
             _encoders[key] = Encoder(shared.value, pattern)
         coder = _encoders[key]
+        table = _token_bytes(coder.ranks) if decoded_into else None
         for batch in batches:
             at = 0
             for texts in _groups(batch.column(len(keep)).to_pylist()):
@@ -229,44 +254,33 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
                 lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(keep))), lists], [f.name for f in schema])
+                more = [_bytes_of(ids, upto, table)] if table else []
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(keep))), lists, *more], [f.name for f in schema])
 
     got = source.mapInArrow(run, schema)
-    return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), F.col("ids").alias(into))
+    more = [F.col("decoded").alias(decoded_into)] if decoded_into else []
+    return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), F.col("ids").alias(into), *more)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """encoded with the bytes (binary) that its ids stand for; null ids give no bytes, an unknown id is an error."""
     spark = encoded.sparkSession
-    ranks = read_ranks(path)
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for t, r in ranks.items():
-        tokens[r] = t
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), sizes))
+    shared = spark.sparkContext.broadcast(_token_bytes(read_ranks(path)))  # bounded: the vocabulary
     keep = [c for c in encoded.columns if c != into]
     source = encoded.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)))
     where = keep.index(ids_col)
     schema = T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        data, start, size = shared.value
         for batch in batches:
             column = batch.column(where)
             upto = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             ids = column.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or (size[ids] == 0).any()):
-                raise ValueError("ids outside the vocabulary")
             first = 0
             while first < len(column):  # some 4 MB of bytes at a time
                 last = int(np.searchsorted(upto, upto[first] + (1 << 20), side="right")) - 1
                 last = min(max(last, first + 1), len(column))
-                part = ids[upto[first] : upto[last]]
-                n = size[part]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                raw = data[np.repeat(start[part] - ends[:-1], n) + np.arange(ends[-1])] if len(part) else np.zeros(0, np.uint8)
-                offsets = ends[upto[first : last + 1] - upto[first]].astype(np.int32)
-                out = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                out = _bytes_of(ids[upto[first] : upto[last]], upto[first : last + 1] - upto[first], shared.value)
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(keep))), out], [f.name for f in schema])
                 first = last

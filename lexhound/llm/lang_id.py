@@ -186,17 +186,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
-    text = F.when(has_letter, F.col(f"`{text_col}`")).otherwise(F.lit(""))
     # positions, not names, so that no column of docs can clash
     kept = [F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)]
-    source = docs.select(*kept, text.alias("text"))
+    # a text that is kept crosses to Python once
+    whole = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == T.StringType() else len(keep)
+    source = docs.select(*kept, *([F.col(f"`{text_col}`").cast("string").alias("text")] if whole == len(keep) else []), has_letter.alias("has_letter"))
     fields = [*(T.StructField(f"k{n}", docs.schema[c].dataType) for n, c in enumerate(keep)), *(T.StructField(a, b) for a, b in SCHEMA_FIELDS)]
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            data, at = text_buffers(batch.column(len(keep)))
+            data, at = text_buffers(batch.column(whole))
+            has_letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             size = np.diff(at)
             pred, score, per = np.full(len(size), len(m.languages)), np.zeros(len(size)), np.full(len(size), np.nan)
             if m.languages and len(size):
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 best = bits.argmin(1)
                 mean = (bits - bits.min(1, keepdims=True)) / np.maximum(size, 1)[:, None]
                 weight = np.exp2(-mean * np.minimum(size, EVIDENCE_BYTES)[:, None])
-                full = size > 0
+                full = (size > 0) & has_letter
                 pred[full] = best[full]
                 score[full] = (1 / weight.sum(1))[full]
                 per[full] = (bits.min(1) / np.maximum(size, 1))[full]

@@ -22,7 +22,7 @@ BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode
+from .bpe import encode
 from .common import table
 
 
@@ -14,7 +14,7 @@ def tokens(docs, keep, path=None, pattern=None):
         import public_tokenizers
 
         path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    got = decode(encode(docs.select(*keep, "text"), path, pattern), path)
+    got = encode(docs.select(*keep, "text"), path, pattern, decoded_into="decoded")
     words = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return got.select(
         *keep,
