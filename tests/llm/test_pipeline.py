@@ -1,0 +1,70 @@
+"""The corpus pipeline against a brute-force version of its stages, one document after the other."""
+
+import base64
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from lexhound.llm.line_dedup import Closeness
+from tests.llm.test_lang_id import WORDS
+from tests.llm.test_line_dedup import BLANK, brute, edited
+from tests.llm.test_mixing import brute as brute_mix
+from tests.llm.test_simhash import brute_fingerprint, brute_links
+
+P = pytest.importorskip("public_tokenizers")
+tiktoken = pytest.importorskip("tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        lang = rng.choice(sorted(WORDS))
+        lines = [" ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(2, 25))) for _ in range(rng.randint(1, 6))]
+        rows.append((k, "\n".join(lines), lang, rng.choice(["hot", "hot", "hot", "b", None])))
+    hot = "the of and a passage that very many documents of the hot source have in common with each other"
+    rows += [(200 + k, hot + ("\n" + rows[k][1] if k % 2 else ""), "en", "hot") for k in range(60)]
+    rows += [(300 + k, edited(rng, rows[k][1], 2, "ab "), rows[k][2], "c") for k in range(30)]
+    rows += [(400, None, None, "hot"), (401, "", "en", "b"), (402, "12 34 -- !!", "en", "b"), (403, " \n ", None, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_against_brute_force(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    # lines
+    _, _, head = brute([r[:2] for r in kept], Closeness())
+    after = []
+    for d, text, *rest in kept:
+        lines = text.split("\n")
+        left = [x for k, x in enumerate(lines) if not x.strip(BLANK) or len(x) < 20 or head[x] == (False, d, k)]
+        if any(x.strip(BLANK) for x in left):
+            after.append((d, "\n".join(left), *rest))
+    assert len(after) < len(kept)
+    # near duplicates
+    least = brute_links({d: brute_fingerprint(t) for d, t, *_ in after})
+    single = [r for r in after if least[r[0]][1] == r[0]]
+    assert len(single) < len(after)
+    # the mix
+    sizes, _, _, taken = brute_mix([(d, t, s) for d, t, _, s in single])
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, special_tokens={}, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))})
+    want = Counter()
+    for (d, t, lang, s), n, k in zip(single, sizes, taken, strict=True):
+        if k:
+            want[d, s, lang, tuple(own.encode_ordinary(t))] += k // n
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter((r["doc_id"], r["source"], r["lang"], tuple(r["ids"])) for r in got.collect()) == want
+
+
+def test_stages(spark):
+    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "mixture", "encoding"]
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, "")
+        assert got.count() == 0, name
+        assert name == "encoding" or got.columns == empty.columns, name
