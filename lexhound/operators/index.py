@@ -87,34 +87,44 @@ class LosslessIndex(Index):
 
     def __init__(self, postings: DataFrame, config: IndexConfig = IndexConfig(), vocabulary: DataFrame | None = None):  # noqa: B008
         self.config, self._postings, self._vocabulary = config, postings.select("word", "doc_id", "start"), vocabulary
+        self._repeated: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, config: IndexConfig = IndexConfig(), text_col: str = "text", id_col: str = "doc_id", strict_offsets: bool = True) -> LosslessIndex:  # noqa: B008
         """Of docs; a document that is given twice counts once."""
         found = tokenize(docs.withColumnRenamed(id_col, "doc_id"), ("doc_id",), text_col, strict_offsets=strict_offsets)
-        return cls(found.select("word", "doc_id", "start").distinct(), config)
+        got = cls(found.select("word", "doc_id", "start").distinct(), config)
+        got._repeated = found.select("word", "doc_id", "start")
+        return got
 
     def postings(self) -> DataFrame:
         return self._postings
 
+    def repeated_postings(self) -> DataFrame:
+        """postings(), but rows may be repeated; for what drops repetitions anyway."""
+        return self._postings if self._repeated is None else self._repeated
+
     def compact(self) -> DataFrame:
         """(word, doc_id, positions array<int>), the places in order."""
-        return self._postings.groupBy("word", "doc_id").agg(F.array_sort(F.collect_set("start")).alias("positions"))
+        return self.repeated_postings().groupBy("word", "doc_id").agg(F.array_sort(F.collect_set("start")).alias("positions"))
 
     def document_postings(self) -> DataFrame:
-        return self._postings.select("word", "doc_id").distinct()
+        return self.repeated_postings().select("word", "doc_id").distinct()
 
     def words(self) -> DataFrame:
-        return self._vocabulary.select("word") if self._vocabulary is not None else self._postings.select("word").distinct()
+        return self._vocabulary.select("word") if self._vocabulary is not None else self.repeated_postings().select("word").distinct()
 
     def documents_with_word(self, word: str) -> DataFrame:
-        return self._postings.where(F.col("word") == normalize_word(word)).select("doc_id").distinct()
+        return self.repeated_postings().where(F.col("word") == normalize_word(word)).select("doc_id").distinct()
 
     def occurrences(self, proximates: DataFrame | None, word: str) -> DataFrame:
         return _rated(self._postings, proximates, word)
 
     def merge(self, other: LosslessIndex) -> LosslessIndex:
-        return LosslessIndex(self._postings.unionByName(other._postings).distinct(), self.config)
+        both = self.repeated_postings().unionByName(other.repeated_postings())
+        got = LosslessIndex(both.distinct(), self.config)
+        got._repeated = both
+        return got
 
     def insert_word(self, word: str, doc_id: int, start: int) -> LosslessIndex:
         row = self._postings.sparkSession.createDataFrame([(normalize_word(word), doc_id, start)], "word string, doc_id long, start int")
