@@ -26,7 +26,7 @@ _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|(?=[ .-]?\d))(?:[ .-]?\d{1,4}){2,6}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
+_PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|(?=[ .-]?\d))(?:[ .-]?\d{1,4}){2,6}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ISO_DATE = re.compile(r"(?<![\d./-])(\d{4})([-/.])(\d{2})\2(\d{2})(?![\d]|[./-]\d)")
 _DAY_DATE = re.compile(r"(?<![\d./-])(\d{2})([-/.])(\d{2})\2(\d{4})(?![\d]|[./-]\d)")
@@ -198,7 +198,12 @@ class Pseudonymiser:
             for m in pattern.finditer(text):
                 a, b = m.span(group)
                 at = bisect_left(found, (a,))
-                if at < len(found) and found[at][0] < b or at and found[at - 1][1] > a:
+                if at < len(found) and found[at][0] < b:  # it may end before what has been found
+                    m = pattern.match(text, m.start(), found[at][0])
+                    if m is None:
+                        continue
+                    a, b = m.span(group)
+                if at and found[at - 1][1] > a:
                     continue
                 key = (kind, m.group(group))
                 new = self._memory.get(key)

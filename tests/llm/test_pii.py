@@ -45,6 +45,11 @@ def test_kinds_and_round_trip():
     assert _mod97(iban[4:] + iban[:4]) == 1
 
 
+def test_neighbours():
+    out, spans = THERE.replace("un. +1 (826) 555-4081 190.137.223.20, +44 20 7946 0958 10.0.0.1 a@b.org,c@d.org")
+    assert [k for k, _, _ in spans] == ["phone", "ip", "phone", "ip", "email", "email"] and BACK.replace(out)[0].startswith("un. +1 (826) 555-4081 190.137.223.20, +44 20 7946 0958 10.0.0.1")
+
+
 def test_what_does_not_validate_stays():
     for text in ("", "no data", "2123465659789241", "999.1.2.3", "1.2.3.4.5", "31.02.2020", "000-12-3456", "a@b", "version 3.", "1" * 16, "id 12345", "token = abc"):
         assert THERE.replace(text) == (text, [])
