@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,8 @@ def expand(vocabulary: DataFrame, words: Sequence[str], algorithm: Algorithm, th
     if not wanted:
         return vocabulary.sparkSession.createDataFrame([], PROXIMATES)
     if first_char_only:
-        vocabulary = vocabulary.where(F.substring("word", 1, 1).isin(sorted({w[0] for w in wanted})))
+        # a filter that Parquet's statistics can use, on the vocabulary and, by the join, on postings
+        vocabulary = vocabulary.where(reduce(or_, (F.col("word").startswith(c) for c in sorted({w[0] for w in wanted}))))
     met = vocabulary.select(F.explode(_literals(wanted)).alias("q"), "word")
     if first_char_only:
         met = met.where(F.substring("word", 1, 1) == F.substring("q.query_word", 1, 1))

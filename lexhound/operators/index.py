@@ -38,6 +38,10 @@ class Index(ABC):
     def document_postings(self) -> DataFrame:
         """(word, doc_id), distinct."""
 
+    def document_rows(self) -> DataFrame:
+        """(word, doc_id), where rows may be repeated; for what drops repetitions anyway."""
+        return self.document_postings()
+
     @abstractmethod
     def occurrences(self, proximates: DataFrame | None, word: str) -> DataFrame:
         """(doc_id, word, start, rating) of a query word's occurrences; exact ones if proximates is None."""
@@ -48,7 +52,7 @@ class Index(ABC):
 
     def words_starting_with(self, char: str) -> DataFrame:
         c = normalize_word(char)[:1]
-        return self.words().where(F.substring("word", 1, 1) == c)
+        return self.words().where(F.col("word").startswith(c) if c else F.lit(False))
 
     def word_count(self) -> int:
         return self.words().count()
@@ -111,6 +115,9 @@ class LosslessIndex(Index):
     def document_postings(self) -> DataFrame:
         return self.repeated_postings().select("word", "doc_id").distinct()
 
+    def document_rows(self) -> DataFrame:
+        return self.repeated_postings().select("word", "doc_id")
+
     def words(self) -> DataFrame:
         return self._vocabulary.select("word") if self._vocabulary is not None else self.repeated_postings().select("word").distinct()
 

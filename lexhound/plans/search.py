@@ -53,12 +53,11 @@ class Documents:
         leaves: list[str] = []
         holds = _condition(self.query.root, leaves, strict_not)
         marks = list(dict.fromkeys(leaves))
-        spark = self.index.document_postings().sparkSession
+        postings = self.index.document_rows()
         if not any(marks):
-            return spark.createDataFrame([], "doc_id long")
+            return postings.sparkSession.createDataFrame([], "doc_id long")
         chunks = [marks[i : i + _BITS] for i in range(0, len(marks), _BITS)]
         source = self.proximates
-        postings = self.index.document_postings()
         if source is None:
             found, key = postings.where(F.col("word").isin([m for m in marks if m])), F.col("word")
         else:
@@ -119,12 +118,16 @@ class Query:
     def documents(self, index: Index) -> Documents:
         return Documents(self, index, self.proximates(index))
 
-    def hits(self, index: Index, distance_threshold: int | None = 100, proximates: DataFrame | None = None) -> DataFrame:
+    def hits(
+        self, index: Index, distance_threshold: int | None = 100, proximates: DataFrame | None = None, occurrences: Callable[[DataFrame | None, str], DataFrame] | None = None
+    ) -> DataFrame:
         """Rated hits, in no order. distance_threshold: bytes within which places of one word count as one.
 
-        Negated words lower the rating of hits near them, and never remove one.
+        Negated words lower the rating of hits near them, and never remove one. occurrences: another source of places than
+        the index; it takes the expansion (or None) and a word, and gives (doc_id, word, start, rating).
         """
         exact = index.config.algorithm is Algorithm.EXACT
+        places_of = occurrences or index.occurrences
         expansion = None if exact else proximates if proximates is not None else self.proximates(index)
         number = 0
 
@@ -134,7 +137,7 @@ class Query:
                 number += 1
                 if not node.text:
                     return index.document_postings().sparkSession.createDataFrame([], HITS)
-                return leaf_hits(index.occurrences(expansion, node.text), number, distance_threshold)
+                return leaf_hits(places_of(expansion, node.text), number, distance_threshold)
             if isinstance(node, Or):
                 left = plan(node.left)
                 return or_hits(left, plan(node.right))

@@ -15,7 +15,9 @@ from ..operators.index import IndexConfig, LosslessIndex, SimpleIndex
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table; one with fewer splits than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def with_doc_id(df: DataFrame, *keys: str) -> DataFrame:

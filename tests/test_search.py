@@ -194,6 +194,8 @@ def test_a_source_of_ones_own(spark):
     own = Doubled()
     assert own.word_count() == 2 and own.contains_word("b", 1) and sorted(r[0] for r in own.words_starting_with("a").collect()) == ["a"]
     assert ids(Query.parse("a b").documents(own).table()) == [1]
+    other = lambda proximates, word: own.occurrences(proximates, word).where("doc_id = 2")
+    assert [r[0] for r in rows(Query.parse("a").hits(own, occurrences=other))] == [2]
     assert rows(Query.parse("a").hits(own)) == [(1, 10, 1, 1.0, ((10, 1),), ()), (2, 20, 1, 1.0, ((20, 1),), ())]
 
 
