@@ -13,7 +13,7 @@ from ..functions.similarity import Algorithm
 from ..functions.text import normalize_word
 from . import expand as _expand
 from .hits import word_rating
-from .tokenize import tokenize
+from .tokenize import document_words, tokenize
 
 
 @dataclass(frozen=True)
@@ -92,13 +92,22 @@ class LosslessIndex(Index):
     def __init__(self, postings: DataFrame, config: IndexConfig = IndexConfig(), vocabulary: DataFrame | None = None):  # noqa: B008
         self.config, self._postings, self._vocabulary = config, postings.select("word", "doc_id", "start"), vocabulary
         self._repeated: DataFrame | None = None
+        self._compact: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, config: IndexConfig = IndexConfig(), text_col: str = "text", id_col: str = "doc_id", strict_offsets: bool = True) -> LosslessIndex:  # noqa: B008
-        """Of docs; a document that is given twice counts once."""
-        found = tokenize(docs.withColumnRenamed(id_col, "doc_id"), ("doc_id",), text_col, strict_offsets=strict_offsets)
-        got = cls(found.select("word", "doc_id", "start").distinct(), config)
-        got._repeated = found.select("word", "doc_id", "start")
+        """Of docs; a document that is given twice counts once.
+
+        Ids alone are read first: if none is given twice, as is usual, no posting can be, and none is shuffled for that.
+        """
+        named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        found = tokenize(named, strict_offsets=strict_offsets).select("word", "doc_id", "start")
+        if has_repeated_ids(named):
+            got = cls(found.distinct(), config)
+            got._repeated = found
+        else:
+            got = cls(found, config)
+            got._compact = document_words(named, strict_offsets=strict_offsets).select("word", "doc_id", "positions")
         return got
 
     def postings(self) -> DataFrame:
@@ -108,11 +117,18 @@ class LosslessIndex(Index):
         """postings(), but rows may be repeated; for what drops repetitions anyway."""
         return self._postings if self._repeated is None else self._repeated
 
+    def may_repeat(self) -> bool:
+        return self._repeated is not None
+
     def compact(self) -> DataFrame:
-        """(word, doc_id, positions array<int>), the places in order."""
+        """(word, doc_id, positions array<int>), the places in order; of documents just read, grouped as they are read."""
+        if self._compact is not None:
+            return self._compact
         return self.repeated_postings().groupBy("word", "doc_id").agg(F.array_sort(F.collect_set("start")).alias("positions"))
 
     def document_postings(self) -> DataFrame:
+        if self._compact is not None:
+            return self._compact.select("word", "doc_id")
         return self.repeated_postings().select("word", "doc_id").distinct()
 
     def document_rows(self) -> DataFrame:
@@ -167,7 +183,8 @@ class SimpleIndex(Index):
     @classmethod
     def build(cls, docs: DataFrame, config: IndexConfig | None = None, text_col: str = "text", id_col: str = "doc_id") -> SimpleIndex:
         named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        return cls(tokenize(named).select("word", "doc_id").distinct(), config, named)
+        found = document_words(named).select("word", "doc_id")
+        return cls(found.distinct() if has_repeated_ids(named) else found, config, named)
 
     def with_documents(self, docs: DataFrame) -> SimpleIndex:
         """The texts (doc_id, text) to read again; documents without one have no occurrences."""
@@ -219,6 +236,11 @@ class SimpleIndex(Index):
         return words.agg(F.coalesce(F.sum(F.octet_length("word") + 16 + 8 * F.col("n") + 16), F.lit(0)).cast("long").alias("bytes"))
 
 
+def has_repeated_ids(docs: DataFrame) -> bool:
+    """Whether a doc_id of docs is given twice; reads that column alone."""
+    return not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
+
+
 def remove_documents(postings: DataFrame, ids: DataFrame | int) -> DataFrame:
     """Postings without the documents: one id, or a table (doc_id)."""
     if isinstance(ids, int):

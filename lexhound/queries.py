@@ -60,7 +60,7 @@ def q_tokenize_end_offsets(spark, folder):
 
 
 def q_normalize_words(spark, folder):
-    return raw_tokens(documents(spark, folder), ["doc_id"], "text", True, True).select(normalize(F.col("raw")).alias("word")).groupBy("word").count()
+    return raw_tokens(documents(spark, folder)).select(normalize(F.col("raw")).alias("word")).groupBy("word").count()
 
 
 def q_hyphen_compounds(spark, folder):

@@ -38,14 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
 def write_index(index: LosslessIndex | SimpleIndex, path: str, ranges: int | None = None) -> None:
     """Postings and vocabulary as Parquet, postings in order of word and document, so that a lookup reads few row groups.
 
-    Ranges are over word and document, so those of a word that most documents hold are in many files. Equal postings meet
-    in one range, where they are reduced to one: the index takes one shuffle.
+    Ranges are over word and document, so those of a word that most documents hold are in many files. Where postings may be
+    repeated, equal ones meet in one range and are reduced to one: the index takes one shuffle.
     """
     lossless = isinstance(index, LosslessIndex)
     postings = index.repeated_postings() if lossless else index.document_postings()
     keys = ["word", "doc_id", "start"] if lossless else ["word", "doc_id"]
     ranged = postings.repartitionByRange(*keys[:2]) if ranges is None else postings.repartitionByRange(ranges, *keys[:2])
-    ranged = ranged.dropDuplicates(keys) if lossless else ranged
+    ranged = ranged.dropDuplicates(keys) if lossless and index.may_repeat() else ranged
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/postings")
     spark = postings.sparkSession
     words = spark.read.parquet(f"{path}/postings").select("word").distinct()

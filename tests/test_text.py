@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexhound.functions.similarity import Algorithm, hamming, jaro, jaro_of
 from lexhound.functions.text import HYPHENS, alphanumeric_table, is_alphanumeric, is_whitespace, normalize, normalize_word
-from lexhound.operators.tokenize import tokenize
+from lexhound.operators.tokenize import document_words, tokenize
 
 WORDS = ["test-is good!", "TESTIsGood", "ÀÉ", "ΟΔΟΣ", "Σ", "ς", "İx", "áิb_-²Ⅷ", "", "日本 語", "a😀b", "ﬁ"]
 
@@ -44,7 +44,7 @@ def brute_tokens(text, strict=True):
 
 def test_tokenize(spark):
     rng = random.Random(1)
-    texts = ["", "one", "a-b-c.", "a-b", "next- x", "a--b.", " - ", "—é–ü—.", "Next-Gen stuff", "x\ny", "été–ÉTÉ ΟΔΟΣ-a ", "日本-語 "]
+    texts = ["", "one", "a-b-c.", "a-b", "next- x", "a--b.", " - ", "—é–ü—.", "Next-Gen stuff", "x\ny", "été–ÉTÉ ΟΔΟΣ-a ", "日本-語 ", "İstanbul-X y"]
     texts += ["".join(rng.choice("abÉé9Σ -—.,😀\n") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(1000, None, "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3)
@@ -57,6 +57,12 @@ def test_tokenize(spark):
             assert got.get(k, set()) == {(w, s, c) for w, s, c in brute_tokens(t, strict)}, repr(t)
     assert [(w, s) for w, s, _ in sorted(brute_tokens("a-b-c."), key=lambda x: (x[1], x[0]))] == [("a", 0), ("ab", 0), ("b", 2), ("bc", 2), ("c", 4)]
     assert tokenize(df.limit(0)).count() == 0
+    grouped = {(r["doc_id"], r["word"]): r["positions"] for r in document_words(df).collect()}
+    want: dict = {}
+    for k, t in enumerate(texts):
+        for w, s in sorted({(w, s) for w, s, _ in brute_tokens(t)}):
+            want.setdefault((k, w), []).append(s)
+    assert grouped == want
 
 
 def test_a_very_long_text(spark):
