@@ -33,13 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of the tables that this process has written and not removed.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: computed once, its lineage cut, safe from lost executors.
 
-    Each call writes to a path of its own. delete_table() removes it once nothing reads it any more.
+    Each call writes to a path of its own. delete_table() removes it once nothing reads it any more, delete_since() all
+    that have been written since some point.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +61,22 @@ def delete_table(df: DataFrame) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def written() -> int:
+    """A point in time for delete_since()."""
+    return len(_written)
+
+
+def delete_since(spark: SparkSession, point: int, but: DataFrame) -> None:
+    """Removes the tables that materialise() has written since written() gave point, except the one that but reads."""
+    stays = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in but.inputFiles()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[point:]:
+        if path.split(":", 1)[-1].lstrip("/") not in stays:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            _written.remove(path)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets, without a copy; nulls are empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
