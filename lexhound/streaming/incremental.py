@@ -17,18 +17,27 @@ class StreamingIndex:
 
     Each micro-batch writes the words of its documents to a folder of its own, and marks the documents that it replaces or
     removes; both folders are named by the batch, so a batch that is run again after a failure replaces what it had
-    written. A document's words are those of the last batch that named it. compact() folds all batches into one.
+    written. A document's words are those of the last batch that named it. compact() folds all batches into one elsewhere.
     """
 
     def __init__(self, spark: SparkSession, path: str, config: IndexConfig = IndexConfig()):  # noqa: B008
         self.spark, self.path, self.config = spark, path, config
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Documents (doc_id, text); a null text removes the document."""
+        """Documents (doc_id, text); a null text removes the document. Of several texts for one in a batch the greatest counts."""
         docs = batch.select("doc_id", "text").groupBy("doc_id").agg(F.max("text").alias("text"))
-        words = tokenize(docs).select("word", "doc_id", "start")
-        words.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch_id}")
-        docs.select("doc_id").write.mode("overwrite").parquet(f"{self.path}/named/batch={batch_id}")
+        self._write(self.path, tokenize(docs).select("word", "doc_id", "start"), docs.select("doc_id"), batch_id)
+
+    @staticmethod
+    def _write(path: str, postings: DataFrame, named: DataFrame, batch_id: int) -> None:
+        postings.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+        named.write.mode("overwrite").parquet(f"{path}/named/batch={batch_id}")
+
+    def compact(self, path: str) -> StreamingIndex:
+        """What the index holds now, as one batch before all others in a folder of its own, where streams can go on."""
+        postings = self.index().postings()
+        self._write(path, postings, postings.select("doc_id").distinct(), -1)
+        return StreamingIndex(self.spark, path, self.config)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

@@ -66,4 +66,8 @@ def test_streaming(spark, tmp_path):
     stream.apply(spark.createDataFrame([(4, "later")], schema), 7)
     stream.apply(spark.createDataFrame([(4, "later")], schema), 7)  # a batch that is run again
     assert [r["word"] for r in stream.index().postings().where("doc_id = 4").collect()] == ["later"]
+    other = stream.compact(str(tmp_path / "compacted"))
+    assert sorted(map(tuple, other.index().postings().collect())) == sorted(map(tuple, stream.index().postings().collect()))
+    other.apply(spark.createDataFrame([(2, None)], schema), 0)
+    assert other.index().postings().where("doc_id = 2").isEmpty()
     assert [r["doc_id"] for r in Query.parse("words -other").documents(stream.index()).table(strict_not=True).collect()] == [1]
