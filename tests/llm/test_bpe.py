@@ -36,6 +36,8 @@ def test_ids_are_those_of_the_library():
     own = Encoder(build_vocabulary(RANKS), P.PATTERN)
     for t in texts():
         assert own.encode([t])[0].tolist() == THEIRS.encode_ordinary(t)
+    long = "über the 1,234 words\n" * 60_000  # split lazily
+    assert own.encode([long])[0].tolist() == THEIRS.encode_ordinary(long)
     ids, at = own.encode([None, "a b", "", "c"])
     assert at.tolist() == [0, 0, 2, 2, 3] and len(ids) == 3
     assert merge(b"", RANKS.get) == []

@@ -18,6 +18,8 @@ def test_hostile():
     for page in ("", None, "<", "<<<<" * 1000, "<p", "</p></div>" * 100, "<script>", "<!--", "<div>" * 5000, "&amp;" * 1000, "<a href='x>" * 50, "plain text of no tags"):
         assert isinstance(main_text(page), str)
     assert main_text(f"<p>{STORY}") == STORY
+    assert main_text("<article>" + f"<p>{STORY}</p>" * 20_000 + "</article>") == "\n".join([STORY] * 20_000)
+    assert main_text(f"<article><p>{STORY * 5_000}</p></article>") == STORY * 5_000
 
 
 def test_frames(spark):

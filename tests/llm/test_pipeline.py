@@ -61,6 +61,21 @@ def test_against_brute_force(spark, tmp_path):
     assert Counter((r["doc_id"], r["source"], r["lang"], tuple(r["ids"])) for r in got.collect()) == want
 
 
+def test_stages_keep_extra_columns_whatever_their_names(spark):
+    text = "the of and a text that every stage keeps, with a line of its own number {}"
+    rows = [(k, text.format(k) + f"\n{k} the river and the house of number {k * 7919} were old" * 3, "en", f"s{k % 3}", k, f"r{k}", k, None if k % 2 else "g", [k], 1.5, k) for k in range(30)]
+    rows += [rows[4], (None, "der die und nicht mit auf für ein ist über, noch einmal", None, None, None, "null", 1, "g", None, None, 1), (77, None, None, None, None, None, None, None, None, None, None)]
+    schema = SCHEMA + ", row string, k0 int, gone string, ids array<int>, score double, size int"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        by = {(r[0], *r[5:]): r for r in map(lambda r: tuple(map(str, r)), got.collect())}
+        given = {tuple(map(str, r))[0:1] + tuple(map(str, r))[5:] for r in rows}
+        assert by and set(by) <= given, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows)
+
+
 def test_stages(spark):
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "mixture", "encoding"]
     empty = spark.createDataFrame([], SCHEMA)

@@ -59,15 +59,17 @@ def test_links_are_those_of_brute_force(spark, hot, monkeypatch):
 def test_frames(spark):
     text = " ".join(f"word{k}" for k in range(400))
     rows = [(5, text, "a"), (3, text + " more", "b"), (9, text.upper(), "c"), (7, "something else that stands alone here", "d"), (8, None, "e"), (2, "", "f"), (2, "", "f"), (None, text, "g")]
+    long = "very long text of the same words " * 30_000
+    rows += [(400, long, "i"), (401, long + "end", "i")]
     rows += [(100 + k, "copies of one text, and of no other", "h") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = defaultdict(list)
     for r in near_duplicates(df).collect():
         got[r["doc_id"]].append((r["n_near"], r["component_id"]))
     assert got[5] == [(3, 3)] and got[None] == [(3, 3)] and got[7] == [(0, 7)] and got[8] == [(2, 2)] and got[2] == [(2, 2)] * 2
-    assert got[150] == [(199, 100)]
+    assert got[150] == [(199, 100)] and got[400] == got[401] == [(1, 400)]
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"], r["fp"]) for r in kept.collect()) == [(2, "f"), (3, "b"), (7, "d"), (100, "h")]
+    assert sorted((r["doc_id"], r["fp"]) for r in kept.collect()) == [(2, "f"), (3, "b"), (7, "d"), (100, "h"), (400, "i")]
     assert near_duplicates(df.limit(0)).count() == 0 and drop_near_duplicates(df.limit(0)).count() == 0
     assert drop_near_duplicates(df.where(F.col("doc_id").isNull())).count() == 1
