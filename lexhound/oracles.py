@@ -212,7 +212,7 @@ UNION SELECT word, doc_id, start FROM bench) SELECT doc_id, count(*) AS places F
     "missing_postings": f"WITH {TOK}, {BENCH} SELECT word, doc_id FROM tok WHERE doc_id IN (SELECT item_id FROM benchmark) EXCEPT SELECT word, doc_id FROM bench",
     "apply_missing": f"""WITH {TOK}, {BENCH}, kept AS (SELECT word, doc_id FROM tok WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
 UNION (SELECT word, doc_id FROM tok INTERSECT SELECT word, doc_id FROM bench)) SELECT doc_id, count(*) AS words FROM kept GROUP BY doc_id""",
-    "document_map": """WITH named AS (SELECT 'doc ' || doc_id AS name, doc_id FROM documents WHERE doc_id % 3 = 0),
+    "document_map": """WITH named AS (SELECT 'doc ' || doc_id AS name, doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL)),
 fresh AS (SELECT name, row_number() OVER (ORDER BY name) AS n FROM (SELECT DISTINCT url AS name FROM pages WHERE url IS NOT NULL AND url NOT IN (SELECT name FROM named))),
 free AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT unnest(range(1, (SELECT max(doc_id) FROM named) + 1 + (SELECT count(*) FROM fresh))) AS i) WHERE i NOT IN (SELECT doc_id FROM named))
 SELECT name, doc_id FROM named UNION ALL SELECT name, i FROM fresh JOIN free USING (n)""",

@@ -142,8 +142,8 @@ def q_apply_missing(spark, folder):
 
 
 def q_document_map(spark, folder):
-    """Ids for pages by their urls, into a map in which every document whose id is divisible by three has a name."""
-    named = documents(spark, folder).where("doc_id % 3 = 0").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "doc_id")
+    """Ids for pages by their urls, into a map in which every labelled document has a name: pages take the ids between those."""
+    named = read_table(spark, folder, "labels").where("doc_id IS NOT NULL").select("doc_id").distinct().select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "doc_id")
     return DocumentMap(named).reserve(read_table(spark, folder, "pages").select(F.col("url").alias("name")).where("name IS NOT NULL")).table
 
 
