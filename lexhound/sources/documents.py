@@ -88,7 +88,11 @@ class DocumentMap:
 
     def first_free(self) -> int:
         """0 if there is no document; else the lowest id above 0 that is free."""
-        return _free_ids(self.table, 1)[0][0]
+        if self.table.isEmpty():
+            return 0
+        runs = _runs(self.table)
+        gap = runs.where("gaps > 0").orderBy("gaps").first()
+        return gap["low"] - gap["gaps"] if gap else self.table.where("doc_id > 0").select("doc_id").distinct().count() + 1
 
     def reserve(self, names: DataFrame) -> DocumentMap:
         """With an id for each new name of names(name), in order of name: free ids from the lowest on. Known names keep theirs."""
@@ -97,18 +101,16 @@ class DocumentMap:
         n = numbered.count()
         if not n:
             return self
-        ranges = _free_ids(self.table, n)
-        upto, rows = 0, []
-        for first, size in ranges:
-            rows.append((upto, upto + size, first - upto))
-            upto += size
-        spark = self.table.sparkSession
-        spans = spark.createDataFrame(rows, "low long, high long, shift long")
-        if len(rows) == 1:
-            placed = numbered.select("name", (F.col("n") + F.lit(rows[0][2])).alias("doc_id"))
-        else:
-            each = spans.select(F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("n"), "shift")
-            placed = numbered.join(each, "n").select("name", (F.col("n") + F.col("shift")).alias("doc_id"))
+        if self.table.isEmpty():
+            return DocumentMap(numbered.select("name", F.col("n").alias("doc_id")))
+        used = self.table.where("doc_id > 0").select("doc_id").distinct().count()
+        # a gap before a run holds the free ids whose numbers are from the gaps of the run before to its own
+        runs = with_row_number(_runs(self.table), F.col("gaps"), "k")
+        before = runs.select((F.col("k") + 1).alias("k"), F.col("gaps").alias("gaps_before"))
+        gaps = runs.join(before, "k", "left").select("gaps", "low", F.coalesce("gaps_before", F.lit(0)).alias("gaps_before")).where((F.col("gaps") > F.col("gaps_before")) & (F.col("gaps_before") < n))
+        last = F.least(F.col("gaps"), F.lit(n)) - 1
+        free = gaps.select("gaps", "low", F.explode(F.sequence(F.col("gaps_before"), last)).alias("n")).select("n", (F.col("low") - F.col("gaps") + F.col("n")).alias("free"))
+        placed = numbered.join(free, "n", "left").select("name", F.coalesce("free", F.col("n") + used + 1).alias("doc_id"))
         return DocumentMap(self.table.unionByName(placed))
 
     def remove(self, doc_id: int) -> DocumentMap:
@@ -142,22 +144,7 @@ def with_row_number(df: DataFrame, order: Column, name: str = "n") -> DataFrame:
     return kept.withColumn(name, (F.row_number().over(inside) - 1 + base).cast("long")).drop("_range")
 
 
-def _free_ids(table: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Ranges (first, size) of n free ids from the lowest on; 0 only if the table is empty."""
+def _runs(table: DataFrame) -> DataFrame:
+    """Runs of ids above 0 without a free one between them: gaps, how many ids above 0 are free before it, and low, its first."""
     numbered = with_row_number(table.select("doc_id").where("doc_id > 0").distinct(), F.col("doc_id"))
-    last = table.agg(F.max("doc_id")).first()[0]
-    if last is None:
-        return [(0, n)]
-    # where ids stand k ahead of their number, k ids are free before them; the first of each such run ends a gap
-    runs = numbered.groupBy((F.col("doc_id") - F.col("n") - 1).alias("gaps")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    got, left, end = [], n, 0
-    # at most n gaps of one id or more are needed
-    for r in runs.orderBy("gaps").limit(n + 1).collect():
-        size = min(r["low"] - end - 1, left)
-        if size > 0:
-            got.append((end + 1, size))
-            left -= size
-        end = r["high"]
-        if not left:
-            return got
-    return [*got, (max(end, last) + 1, left)] if left else got
+    return numbered.groupBy((F.col("doc_id") - F.col("n") - 1).alias("gaps")).agg(F.min("doc_id").alias("low"))
