@@ -43,6 +43,17 @@ def test_ids_are_those_of_the_library():
     assert merge(b"", RANKS.get) == []
 
 
+def test_white_space_of_all_kinds():
+    own, rng = Encoder(build_vocabulary(RANKS), P.PATTERN), random.Random(3)
+    for n in range(1, 9):
+        for _ in range(1500):
+            t = "".join(rng.choice(" \n\n  ab'st.1\t\r\xa0\u2003\x1c\x85") for _ in range(n))
+            assert own.encode([t])[0].tolist() == THEIRS.encode_ordinary(t), repr(t)
+    for _ in range(300):
+        t = "".join(rng.choice([" ", "\n", " ", "it's", "été", "12", ",", "  ", "\n ", " \n", "\t"]) for _ in range(200))
+        assert own.encode([t])[0].tolist() == THEIRS.encode_ordinary(t), repr(t)
+
+
 def test_frames(spark):
     rows = [(k, t, "x", 1) for k, t in enumerate(texts())] + [(900, None, None, 2), (0, "", "x", 1), (None, "no id", "y", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, k0 int")
