@@ -21,8 +21,10 @@ REMEMBERED = 100_000
 _PREFILTER = r"[0-9@]|[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{16}"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-# Every pattern starts at a border and repeats boundedly, so a text of any kind is scanned in linear time.
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+#: Of longer values so many characters at a time are permuted.
+_PIECE = 4096
+# Every pattern starts at a border and repeats boundedly or possessively, so a text of any kind is scanned in linear time.
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
 _CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
@@ -30,10 +32,22 @@ _PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ISO_DATE = re.compile(r"(?<![\d./-])(\d{4})([-/.])(\d{2})\2(\d{2})(?![\d]|[./-]\d)")
 _DAY_DATE = re.compile(r"(?<![\d./-])(\d{2})([-/.])(\d{2})\2(\d{4})(?![\d]|[./-]\d)")
-_SECRET = re.compile(r"(?i)(?<![A-Za-z0-9])(?:[a-z]{1,20}[_-]){0,3}(?:token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|password|passwd|bearer)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9+/_-]{16,4096})(?![A-Za-z0-9+/_-])")
+_VALUE, _ASSIGNED = r"(?:[A-Za-z0-9+/_-]|\.(?=[A-Za-z0-9+/_-]))", r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
+_SECRET = re.compile(
+    r"(?i)(?<![A-Za-z0-9])(?:[a-z]{1,20}[_-]){0,3}"
+    rf"(?:(?:token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|bearer){_ASSIGNED}(?={_VALUE}{{16}})|(?:password|passwd|passphrase|pwd){_ASSIGNED}(?={_VALUE}{{4}}))({_VALUE}++)"
+)
 _HEX = re.compile(r"[0-9a-fA-F]+")
 
 
+def _secret_kind(text: str) -> str | None:
+    """How a value is permuted: as a hexadecimal number, or letter by letter. None: it isn't one."""
+    digit = any("0" <= c <= "9" for c in text)
+    if _HEX.fullmatch(text) and not text.isdigit() and text in (text.lower(), text.upper()):
+        return "hex" if digit or len(text) >= 16 else None
+    return "letters" if digit else None
+
+
 def luhn_digit(body: str) -> int:
     """The check digit that makes body valid."""
     total = 0
@@ -85,6 +99,8 @@ class Pseudonymiser:
 
     def letters(self, kind: str, text: str) -> str:
         """Digits become digits, letters letters of the same case; other characters stay."""
+        if len(text) > _PIECE:
+            return "".join(self.letters(kind, text[i : i + _PIECE]) for i in range(0, len(text), _PIECE))
         value, size = 0, 1
         for c in text:
             r = 10 if c.isdigit() else 26 if c.isalpha() else 1
@@ -102,14 +118,18 @@ class Pseudonymiser:
         return str(self._map(f"{kind}{n}", int(digits), 10**n)).zfill(n) if n else ""
 
     def secret(self, text: str) -> str | None:
-        if not _HEX.fullmatch(text) or text.isdigit():
-            return self.letters("secret", text) if any(c.isdigit() for c in text) else None
-        n, upper = len(text), text.upper() == text
-        if not upper and text.lower() != text:
-            return self.letters("secret", text)
-        got = f"{self._map(f'hex{n}', int(text, 16), 16**n):0{n}x}"
-        # letters or digits alone would read as another format
-        return got.upper() if upper and text != text.lower() else got
+        own = _secret_kind(text)
+        if own is None:
+            return None
+        # what reads as the other kind would not be undone
+        if own == "letters":
+            return walk(lambda t: self.letters("secret", t), text, lambda t: _secret_kind(t) == own)
+        got = walk(self._hex, text.lower(), lambda t: _secret_kind(t) == own)
+        return got.upper() if text != text.lower() else got
+
+    def _hex(self, text: str) -> str:
+        pieces = [text[i : i + _PIECE] for i in range(0, len(text), _PIECE)]
+        return "".join(f"{self._map(f'hex{len(p)}', int(p, 16), 16 ** len(p)):0{len(p)}x}" for p in pieces)
 
     def email(self, text: str) -> str | None:
         local, _, domain = text.rpartition("@")
@@ -238,7 +258,9 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans: str
     """docs with validated personal data in text_col replaced by pseudonyms, and a column of what was found where.
 
     Kinds: e-mail addresses, IPv4 addresses, card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
-    numbers, dates of 1900 to 2099, and the values of assignments to tokens, keys and passwords. Each keeps its length
+    numbers, dates of 1900 to 2099, and the values of assignments to tokens and keys (of 16 characters and more) and to
+    passwords (of 4 and more). Such a value is of ASCII letters, digits and + / _ - and dots within it, as long as it may
+    be, and holds a digit or is of 16 and more hexadecimal characters; others stay. Each keeps its length
     (but for octets of addresses), punctuation and check digits. With backwards and the same key it is undone. Rows stay
     as they are otherwise, repeated ones too; null text stays null with no spans, empty text empty. A column of docs
     that is called as spans is replaced. The whole text is scanned, in a narrow pass without a shuffle.

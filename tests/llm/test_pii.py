@@ -81,3 +81,23 @@ def test_frames(spark):
     assert by["a"]["text"] == "x " + THERE.replace("10.0.0.1")[0] and by["a"]["pii_spans"][0]["start"] == 2
     assert by[None]["text"] is None and by[None]["pii_spans"] == [] and by["c"]["text"] == "clean"
     assert pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_secrets_of_any_length():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    for name, value in (("password", "hunter2024x"), ("db_passwd", "a1b2"), ("pwd", "0123abcd"), ("api_key", "q7Z" * 1366), ("token", "a9" * 20_000), ("token", jwt), ("secret", "0f" * 3000)):
+        text = f'{name} = "{value}". And more.'
+        out, spans = THERE.replace(text)
+        a = text.index(value)
+        assert spans == [("secret", a, a + len(value))] and BACK.replace(out)[0] == text, name
+        assert all(x not in out for x in value.split(".")), name
+    for k in range(3000):  # short values read as the same kind once more
+        text = f"password: {k:x}ab{k % 7}"
+        assert BACK.replace(THERE.replace(text)[0])[0] == text
+    for text in ("password: required", "pwd = abc", "password: facade", "token = short1"):
+        assert THERE.replace(text) == (text, [])
+    mail = "x" * 90 + "1@example.org"
+    out, spans = THERE.replace(f"to {mail}, too")
+    assert spans == [("email", 3, 3 + len(mail))] and BACK.replace(out)[0] == f"to {mail}, too"
+    for hostile in ("token=" + "a." * 150_000, "a." * 150_000, "pwd=" * 75_000):
+        THERE.replace(hostile)
