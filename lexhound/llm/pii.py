@@ -37,6 +37,15 @@ _SECRET = re.compile(
     r"(?i)(?<![A-Za-z0-9])(?:[a-z]{1,20}[_-]){0,3}"
     rf"(?:(?:token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|bearer){_ASSIGNED}(?={_VALUE}{{16}})|(?:password|passwd|passphrase|pwd){_ASSIGNED}(?={_VALUE}{{4}}))({_VALUE}++)"
 )
+# Runs of groups, in which cards and IBANs are looked for group by group, and what a card or an IBAN looks like.
+_RUNS = {"card": re.compile(r"(?<![\d.+-])\d+(?:[ -]\d+)*+"), "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]++(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+")}
+_GROUP = re.compile(r"[A-Z0-9]+")
+_SHAPES = {
+    "card": re.compile(r"\d{13,19}|(?=(?:[ -]?\d){13,19}$)(?:\d{4}(?:[ -]\d{3,7}){2,4}|\d{6}[ -]\d{7,13})"),
+    "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
+}
+#: Groups of an IBAN in its longest form.
+_MOST_GROUPS = 9
 _HEX = re.compile(r"[0-9a-fA-F]+")
 
 
@@ -71,6 +80,29 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _card_valid(text: str) -> bool:
+    d = _digits(text)
+    return luhn_digit(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+
+
+def _iban_valid(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and _mod97(plain[4:] + plain[:4]) == 1
+
+
+_VALID = {"card": _card_valid, "iban": _iban_valid}
+
+
+def _first(kind: str, run: str) -> tuple[int, int] | None:
+    """The valid card or IBAN of whole groups of run that ends first, of those the longest."""
+    groups, shape, valid = [g.span() for g in _GROUP.finditer(run)], _SHAPES[kind], _VALID[kind]
+    for j, (_, b) in enumerate(groups):
+        for a, _ in groups[max(0, j + 1 - _MOST_GROUPS) : j + 1]:
+            if shape.fullmatch(run, a, b) and valid(run[a:b]):
+                return a, b
+    return None
+
+
 def _refill(shape: str, digits: str) -> str:
     """shape with its digits replaced in order."""
     it = iter(digits)
@@ -81,13 +113,14 @@ class Pseudonymiser:
     """Finds validated values in a text and replaces each by another of its format; backwards undoes that.
 
     A value's pseudonym depends on the key, its kind and its normalised form alone, so equal values stay linked across
-    documents, and within a kind and a length different values stay different. What doesn't validate is left as it is.
+    documents, and within a kind and a length different values stay different. Only where a card or an IBAN would, with
+    the numbers right before it, read as one of other bounds, which could not be undone, it takes the next that does not. What doesn't validate is left as it is.
     """
 
     def __init__(self, key: bytes, backwards: bool = False):
         f = Feistel(key)
         self._step = f.restore if backwards else f.permute
-        self._memory: dict[tuple[str, str], str] = {}
+        self._memory: dict[tuple[str, ...], str] = {}
         #: In order of precedence where two overlap.
         self.kinds: list[tuple[str, re.Pattern, int, Callable[[str], str | None]]] = [
             ("secret", _SECRET, 1, self.secret), ("email", _EMAIL, 0, self.email), ("iban", _IBAN, 0, self.iban), ("date", _ISO_DATE, 0, self.iso_date),
@@ -143,13 +176,20 @@ class Pseudonymiser:
         n = self._map("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
         return ".".join(map(str, n.to_bytes(4, "big")))
 
-    def card(self, text: str) -> str | None:
-        d = _digits(text)
-        if luhn_digit(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    def card(self, text: str, allowed: Callable[[str], bool] | None = None) -> str | None:
+        if not _card_valid(text):
             return None
+        if allowed is None:
+            alone = _first("card", text)
+            allowed = lambda t: _first("card", t) == alone
+        d = _digits(text)
         n = len(d)
-        value = walk(lambda v: self._map(f"card{n}", v, 10 ** (n - 2)), int(d[1:-1]), lambda v: len(set(self._card(d[0], v, n))) > 1)
-        return _refill(text, self._card(d[0], value, n))
+
+        def ok(v: int) -> bool:
+            got = self._card(d[0], v, n)
+            return len(set(got)) > 1 and allowed(_refill(text, got))
+
+        return _refill(text, self._card(d[0], walk(lambda v: self._map(f"card{n}", v, 10 ** (n - 2)), int(d[1:-1]), ok), n))
 
     @staticmethod
     def _card(first: str, value: int, n: int) -> str:
@@ -174,14 +214,48 @@ class Pseudonymiser:
             return None
         return kept + _refill(text[len(kept) :], self._number("phone" + kept, d))
 
-    def iban(self, text: str) -> str | None:
-        plain = text.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+    def iban(self, text: str, allowed: Callable[[str], bool] | None = None) -> str | None:
+        if not _iban_valid(text):
             return None
-        rest = self.letters("iban" + plain[:2], plain[4:])
-        whole = plain[:2] + f"{98 - _mod97(rest + plain[:2] + '00'):02d}" + rest
-        it = iter(whole)
-        return "".join(c if c == " " else next(it) for c in text)
+        if allowed is None:
+            alone = _first("iban", text)
+            allowed = lambda t: _first("iban", t) == alone
+        plain = text.replace(" ", "")
+
+        def whole(rest: str) -> str:
+            it = iter(plain[:2] + f"{98 - _mod97(rest + plain[:2] + '00'):02d}" + rest)
+            return "".join(c if c == " " else next(it) for c in text)
+
+        return whole(walk(lambda r: self.letters("iban" + plain[:2], r), plain[4:], lambda r: allowed(whole(r))))
+
+    def _grouped(self, kind: str, text: str, found: list[tuple[int, int, str, str]]) -> None:
+        """Adds to found the cards or IBANs of whole groups of text, other numbers beside them or not.
+
+        What ends first is taken first, and its pseudonym must be what is found first in its place, so that backwards
+        finds the same: what follows doesn't count, and what is before it and wasn't taken stays as it is.
+        """
+        make = self.card if kind == "card" else self.iban
+        for m in _RUNS[kind].finditer(text):
+            if m.end() - m.start() < 13:
+                continue
+            start, end = m.span()
+            if kind == "card" and text[end : end + 1] == "." and text[end + 1 : end + 2].isdigit():
+                end = max(start, *(g.start() for g in _GROUP.finditer(text, start, end)))
+            free, at = [], bisect_left(found, (start,))
+            at -= at > 0 and found[at - 1][1] > start
+            while at < len(found) and found[at][0] < end:
+                free.append((start, found[at][0]))
+                start, at = found[at][1], at + 1
+            for a, b in [*free, (start, end)]:
+                while b - a >= 13 and (place := _first(kind, text[a:b])):
+                    i, j = place
+                    before, value = text[a : a + i], text[a + i : a + j]
+                    key = (kind, before, value)
+                    new = self._memory.get(key)
+                    if new is None:
+                        new = self._memory[key] = make(value, lambda t, before=before, place=place: _first(kind, before + t) == place)
+                    found.insert(bisect_left(found, (a + i,)), (a + i, a + j, kind, new))
+                    a += j
 
     def _date(self, kind: str, day: int, allowed=lambda v: True) -> date:
         base = FIRST_DAY
@@ -215,6 +289,8 @@ class Pseudonymiser:
         for kind, pattern, group, make in self.kinds:
             if not digit and kind not in ("secret", "email") or kind == "email" and "@" not in text:
                 continue
+            if kind in _RUNS:
+                self._grouped(kind, text, found)
             for m in pattern.finditer(text):
                 a, b = m.span(group)
                 at = bisect_left(found, (a,))

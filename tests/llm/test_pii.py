@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,3 +103,29 @@ def test_secrets_of_any_length():
     assert spans == [("email", 3, 3 + len(mail))] and BACK.replace(out)[0] == f"to {mail}, too"
     for hostile in ("token=" + "a." * 150_000, "a." * 150_000, "pwd=" * 75_000):
         THERE.replace(hostile)
+
+
+def test_cards_and_ibans_beside_other_numbers():
+    rng = random.Random(5)
+    card = lambda: (lambda b: b + str(luhn_digit(b)))("4" + "".join(rng.choice("0123456789") for _ in range(14)))
+    shapes = ("{} 123", "{} 12/25", "12 {}", "7 {} 123", "{} 1234", "{}-123", "{} 12.50", "no 345 {}, then", "2020-01-02 {} 99", "{} 456 {}", "{} {}")
+    for shape in shapes:
+        for k in range(60):
+            own = [card() for _ in range(shape.count("{}"))]
+            written = [" ".join(c[i : i + 4] for i in range(0, 16, 4)) if k % 2 else c for c in own]
+            text = shape.format(*written)
+            out, spans = THERE.replace(text)
+            assert BACK.replace(out)[0] == text, text
+            hidden = {i for kind, a, b in spans for i in range(a, b)}
+            # by chance a card may end or start elsewhere; most of it is hidden even so
+            for w in written:
+                a = text.index(w)
+                assert len(hidden & set(range(a, a + len(w)))) >= 13, (text, spans)
+    assert [s[1:] for s in THERE.replace("4111 1111 1111 1111 123")[1]] == [(0, 19)] and [s[1:] for s in THERE.replace("12 4111 1111 1111 1111")[1]] == [(3, 22)]
+    for iban in ("AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874"):
+        for text in (f"{iban} 123", f"{iban} ABC", f"{iban} 2024 REF", f"IBAN {iban}", f"{iban} Then", f"AB12 {iban}"):
+            out, spans = THERE.replace(text)
+            a = text.index(iban)
+            assert spans == [("iban", a, a + len(iban))] and BACK.replace(out)[0] == text, text
+    for hostile in ("4111 " * 40_000, "AB12 " * 40_000, "1234-" * 40_000):
+        THERE.replace(hostile)
