@@ -30,8 +30,8 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in "!?{}[]=_/\\@~^"]] = True
 
 TREES, SAMPLE, DEPTH = 128, 256, 16
-#: Rows from which trees are drawn, and labelled rows from which thresholds come, at most (in expectation).
-FIT_ROWS, LABELLED_ROWS = 16_384, 50_000
+#: Labelled rows from which trees are drawn and thresholds come, at most (in expectation).
+LABELLED_ROWS = 50_000
 
 
 def repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -220,25 +220,40 @@ def base_failed():
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, labelled: int = LABELLED_ROWS, most_good_lost: float = 0.004) -> Forest:
+def ranges(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest value of each of features() over all rows (0 without rows)."""
+
+    def run(batches):
+        for batch in batches:
+            x = features(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(STATS))]).astype(np.int64))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*x.min(0), *x.max(0))], names)
+
+    width = features(np.zeros((0, len(STATS)), np.int64)).shape[1]
+    low, high = [f"low{k}" for k in range(width)], [f"high{k}" for k in range(width)]
+    names = low + high
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in names])
+    got = stats.select(*STATS).mapInArrow(run, schema).agg(*(F.min(c).alias(c) for c in low), *(F.max(c).alias(c) for c in high)).first()
+    return np.array([got[c] or 0.0 for c in low]), np.array([got[c] or 0.0 for c in high])
+
+
+def fit(stats: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, most_good_lost: float = 0.004) -> Forest:
     """A forest from rows (doc_id, STATS), its threshold from labels (doc_id, quality: 0 is bad).
 
-    Both samples are chosen by the hash of doc_id and bounded in expectation, and only hold rows that pass the base
-    rules. Trees are grown from rows labelled good (from all, if none is), over the ranges that all rows take. Without
-    labels of both kinds nothing is rejected.
+    The ranges from which values are drawn are those of all rows that pass the base rules. Trees are grown from labelled
+    good ones among these, the threshold is set on all labelled ones; that sample is chosen by the hash of doc_id and
+    bounded in expectation. Without labels of both kinds nothing is rejected. If none is good, trees are grown from the
+    bad ones; without any there are no trees, and each row's anomaly is 1.
     """
     draw = F.pmod(F.xxhash64("doc_id", F.lit("forest")), F.lit(1 << 30)) / float(1 << 30)
     passed = stats.where(~base_failed())
-    n = passed.count()
-    some = passed.where(draw < rows / max(n, 1)).orderBy("doc_id", *STATS).select(*STATS).toPandas()
+    low, high = ranges(passed)
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.where(draw < labelled / max(known.count(), 1))
     y = passed.join(picked, "doc_id").orderBy("doc_id", *STATS).select("quality", *STATS).toPandas()
     good = y["quality"].to_numpy() != 0
-    x, given = features(some.to_numpy(np.int64)), features(y[list(STATS)].to_numpy(np.int64))
-    every = np.concatenate([x, given])
-    low, high = (every.min(0), every.max(0)) if len(every) else (np.zeros(every.shape[1]), np.zeros(every.shape[1]))
-    forest = grow(given[good] if good.any() else x, low, high)
+    given = features(y[list(STATS)].to_numpy(np.int64))
+    forest = grow(given[good] if good.any() else given, low, high)
     if len(y) and len(forest.roots):
         forest.threshold = calibrate(anomaly(forest, given), good, most_good_lost)
     return forest

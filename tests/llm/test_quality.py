@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexhound.llm.quality import STATS, anomaly, calibrate, fit, grow, judge, rule_stats, text_stats
+from lexhound.llm.quality import STATS, anomaly, base_failed, calibrate, features, fit, grow, judge, ranges, rule_stats, text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,3 +63,22 @@ def test_verdicts(spark):
     none = stats.limit(0)
     assert judge(none, fit(none, labels.limit(0))).count() == 0
     assert judge(stats, fit(stats, labels.limit(0))).where(F.col("kept") != ~F.col("base_failed")).count() == 0
+
+
+def test_ranges_are_those_of_all_rows(spark):
+    # one row in 40,000 without a label, far from all others, and one that fails the base rules
+    base = {s: F.lit(0).cast("long") for s in STATS} | {"n_words": F.lit(100).cast("long"), "n_bytes": F.lit(600).cast("long"), "n_lines": F.lit(5).cast("long"), "word_chars": (F.lit(400) + F.col("id") % 50).cast("long")}
+    stats = spark.range(40_000).select(F.col("id").alias("doc_id"), *(v.alias(s) for s, v in base.items()))
+    far = {"n_symbols": 9000, "n_digits": 500, "n_marks": 700, "n_upper": 450}
+    for k, (column, value) in enumerate(far.items()):
+        stats = stats.withColumn(column, F.when(F.col("doc_id") == 20_000 + k, value).otherwise(F.col(column)))
+    stats = stats.withColumn("n_words", F.when(F.col("doc_id") == 39_999, 3).otherwise(F.col("n_words"))).withColumn("n_stops", F.when(F.col("doc_id") == 39_999, 90).otherwise(0))
+    low, high = ranges(stats.where(~base_failed()))
+    x = features(stats.where(~base_failed()).select(*STATS).toPandas().to_numpy(np.int64))
+    assert low.tolist() == x.min(0).tolist() and high.tolist() == x.max(0).tolist()
+    labels = spark.range(0, 600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    forest = fit(stats, labels)
+    # some tree splits far beyond all that labelled rows take, where only the rare rows are
+    for f, value in ((1, np.log(0.02 + 45)), (7, np.log(0.02 + 3.5))):
+        split = forest.value[forest.feature == f]
+        assert split.max() > value and split.max() <= high[f]
