@@ -17,6 +17,9 @@ ORDER = 3
 TRAIN_DOCS_PER_LANGUAGE = 600
 #: A score is the posterior that evidence of at most so many bytes gives.
 EVIDENCE_BYTES = 64
+#: A text is in none of the languages if it takes more than so many times what this share of labelled texts of its language
+#: take at most for a byte, and so many bits besides, as short texts tell little.
+BOUND_TIMES, BOUND_SHARE, BOUND_BITS = 2.0, 0.99, 64.0
 
 
 @dataclass
@@ -219,12 +222,32 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), *(a for a, _ in SCHEMA_FIELDS))
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+def bounds(labelled: DataFrame, model: Model, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> dict[str, float]:
+    """Bits a byte above which a text isn't in a language, from (key, lang, text) rows that the model hasn't learnt from.
+
+    They are BOUND_TIMES the BOUND_SHARE quantile of the labelled texts that the model finds to be in their language, of
+    each language a sample as in fit(). A language without such rows has no bound.
+    """
+    per = labelled.groupBy("lang").count().collect()
+    if not per or not model.languages:
+        return {}
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.element_at(F.create_map(*[F.lit(x) for r in per for x in (r["lang"], docs_per_language / r["count"])]), F.col("lang"))
+    got = predict(labelled.where(draw < share), model, ["lang"]).where(F.col("lang") == F.col("lang_pred")).select("lang", "bits_per_byte").toPandas()
+    return {lang: BOUND_TIMES * float(np.quantile(x, BOUND_SHARE)) for lang, x in got.groupby("lang")["bits_per_byte"]}
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text", most_bits: dict[str, float] | None = None) -> DataFrame:
     """The rows of docs, columns as they are, whose text is in a language of the model with at least that score.
 
-    Null, empty and letterless texts are in none and go. Repeated rows are judged each.
+    The score compares the languages of the model with each other only. With most_bits (of bounds()), texts that fit none
+    of them go: those that take more bits a byte than that of the language found, and BOUND_BITS more. Null, empty and letterless texts are in none and go. Repeated rows are judged each.
     """
     base = docs.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)))
     got = predict(base, model, base.columns, f"c{docs.columns.index(text_col)}")
     got = got.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    if most_bits:
+        size = F.octet_length(F.col(f"c{docs.columns.index(text_col)}").cast("string"))
+        most = F.element_at(F.create_map(*[F.lit(x) for pair in most_bits.items() for x in pair]), F.col("lang_pred"))
+        got = got.where(most.isNull() | (F.col("bits_per_byte") * size <= most * size + BOUND_BITS))
     return got.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(docs.columns)))

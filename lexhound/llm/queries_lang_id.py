@@ -12,8 +12,9 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_rows(docs):
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+def training_rows(docs, others=False):
+    """(key, lang, text) of the labelled documents that are learnt from, or of the others, which are held out."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out() if others else ~held_out()))
     return known.select(F.col("doc_id").alias("key"), "lang", "text")
 
 

@@ -83,3 +83,19 @@ def test_stages(spark):
         got = stage(spark, empty, "")
         assert got.count() == 0, name
         assert name == "encoding" or got.columns == empty.columns, name
+
+
+def test_texts_in_languages_that_were_not_learnt_go(spark):
+    rows = [r for r in corpus() if r[0] < 120]
+    others = [
+        "La mattina seguente il contadino tornò nel campo e vide che la pioggia aveva rovinato il raccolto",
+        "De volgende ochtend ging de boer terug naar het veld en zag dat de regen de oogst had verwoest",
+        "Następnego ranka rolnik wrócił na pole i zobaczył, że deszcz zniszczył całe zbiory",
+        "На следующее утро крестьянин вернулся в поле и увидел, что дождь погубил весь урожай",
+        "第二天早上，农夫回到田里，看到雨水毁了所有的庄稼。",
+        base64.b64encode(bytes(range(0, 250, 3))).decode(),
+    ]
+    own = [(500, "le la et les des pour avec être dans où les des pour la", None, "b"), (501, "the of", None, "b"), (502, "der die und x1", None, "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in [*rows, *own, *((600 + k, t, None, "b") for k, t in enumerate(others))]], SCHEMA)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {r[0] for r in [*rows, *own]}
