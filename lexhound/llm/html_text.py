@@ -154,9 +154,13 @@ def _kind(tag: str, attrs: str) -> int:
 
 
 def classify(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
-    """First pass: each block by itself. Outside or linked: bad. Short: brief. Else by length and density of stop words."""
+    """First pass: each block by itself. Outside or linked: bad. Short: brief. Else by length and density of stop words.
+
+    Where no block that is neither of these reaches the lower bound of stop words, the page is in another language, and
+    length alone decides.
+    """
     has_article = any(b[3] for b in found)
-    out = []
+    out, poor, known = [], [], False
     for text, linked, outside, inside, _ in found:
         n = len(text)
         if outside or (has_article and not inside):
@@ -168,12 +172,18 @@ def classify(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
         else:
             words = [w.lower() for w in _WORD.findall(text)]
             share = sum(w in _STOPS for w in words) / max(1, len(words))
+            known |= share >= STOPS_LOW
             if share >= STOPS_HIGH:
                 out.append(GOOD if n > LONG else NEAR)
             elif share >= STOPS_LOW:
                 out.append(NEAR)
             else:
+                if not inside:
+                    poor.append(len(out))
                 out.append(GOOD if inside and n > LONG else BRIEF if inside else BAD)
+    if not known:
+        for k in poor:
+            out[k] = GOOD
     return out
 
 

@@ -29,3 +29,13 @@ def test_frames(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r["url"] or "", r["text"]) for r in got.collect()) == [("", ""), ("u", main_text(PAGE)), ("u", main_text(PAGE)), ("v", "")]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_languages_without_stop_words():
+    story = "Następnego ranka rolnik wrócił na pole i zobaczył, że deszcz zniszczył całe zbiory, a woda z rzeki zalała drogę do miasteczka. "
+    links = "".join(f'<a href="/{k}">Wiadomości lokalne numer {k}</a> ' for k in range(9))
+    for body in (story, story * 2):
+        page = f"<html><body><nav><a href='/'>Strona</a></nav><p>{body}</p><p>{body}</p><div>{links}</div><footer><p>{story}</p></footer></body></html>"
+        assert main_text(page) == "\n".join([body.strip()] * 2)
+    # a page with a block of a known language is judged as before
+    assert main_text(f"<p>{STORY * 2}</p><p>{story * 2}</p>") == STORY * 2
