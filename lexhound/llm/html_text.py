@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Elements whose content is never text.
-_SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|head"
+#: Elements whose content is never text, beside svg and math, which "/>" closes.
+_SILENT = "script|style|noscript|template|iframe|object|canvas|audio|video|select|textarea|button|head"
 #: A comment, a silent element, a declaration, or a tag; quoted values may hold ">".
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<silent>(?P<foreign>svg|math)|{_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?(foreign)(?:(?<=/)>|>.*?(?:</(?P=silent)\s*>|\Z))|>.*?(?:</(?P=silent)\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
 )

@@ -39,3 +39,10 @@ def test_languages_without_stop_words():
         assert main_text(page) == "\n".join([body.strip()] * 2)
     # a page with a block of a known language is judged as before
     assert main_text(f"<p>{STORY * 2}</p><p>{story * 2}</p>") == STORY * 2
+
+
+def test_self_closed_svg_and_math():
+    for empty in ('<svg class="a>b" />', "<math/>", "<SVG width='1'/>"):
+        assert main_text(f"<article><p>{STORY}</p>{empty}<p>{STORY}</p></article>") == f"{STORY}\n{STORY}"
+        assert main_text(f"<article><p>{STORY}</p>{empty}<p>{STORY}</p><svg><path d='M0'/><text>no</text></svg></article>") == f"{STORY}\n{STORY}"
+    assert main_text(f"<article><p>{STORY}<svg><g/><text>no</text></svg></p></article>") == STORY
