@@ -1,42 +1,54 @@
-"""Main text of HTML pages by two passes over their blocks."""
+"""Main text of HTML pages by two passes over their blocks.
+
+The first judges each block by its length, the share of its characters within links and the density of stop words; the
+second gives the blocks that this leaves ambiguous the label of their nearest decided neighbour. What the page says of its
+containers (elements, roles, names) is a prior: it is overruled where it contradicts where the page's prose is.
+"""
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Elements whose content is never text, beside svg and math, which "/>" closes.
-_SILENT = "script|style|noscript|template|iframe|object|canvas|audio|video|select|textarea|button|head"
-#: A comment, a silent element, a declaration, or a tag; quoted values may hold ">".
+#: Elements whose content is never text: raw ones run to their end tag, or end of page; the rest are empty if they are never closed.
+_RAW = frozenset("script style".split())
+_NESTED = frozenset("object template svg math".split())
+_SILENT = _RAW | _NESTED | frozenset("title noscript iframe canvas audio video select textarea button".split())
+#: A comment, a declaration, or a tag; quoted values may hold ">".
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>(?P<foreign>svg|math)|{_SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?(foreign)(?:(?<=/)>|>.*?(?:</(?P=silent)\s*>|\Z))|>.*?(?:</(?P=silent)\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    re.S,
 )
-#: Only in head, and closed by the body if its own end is missing.
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+_ENDS = {t: re.compile(rf"<(/?){t}\b(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?(?:>|\Z)", re.I) for t in _SILENT}
 #: Tags inside a line of text; any other tag ends a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that hold no article.
+_HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+#: Elements that need no end tag: the next of the same family ends them, and a paragraph ends before any block.
+_OPTIONAL = {t: f for f in (("p",), ("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in f}
+#: Elements that hold no article, and what roles, states and names say the same.
 _OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)", re.I)
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _OUTSIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|"
-    r"side-?bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|login|search|pagination|pager|toc|legal|copyright|disclaimer|skip\w*|toolbar)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:(?P<apart>comments?|respond|replies|reply|disqus|cookies?|consent|gdpr|notices?|popup|modal|overlay)|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|"
+    r"breadcrumbs?|header|masthead|topbar|footer|foot|side-?bar|aside|widget|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search|pagination|pager|toc|legal|"
+    r"copyright|disclaimer|skip\w*|toolbar)(?:$|[\s_-]|\d)",
     re.I,
 )
 _ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _SPACE = re.compile(r"[\s\x00]+")
-_WORD = re.compile(r"\w+")
+#: A word; of scripts without spaces each character is one.
+_WORD = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|[^\W฀-๿぀-ヿ㐀-鿿]+")
 _STOPS = frozenset(
     (
         "the of and to a in is it that was for on are with as be this at by have from or had not but what all were when we there can an which their if will each about how up out them then she "
@@ -47,185 +59,308 @@ _STOPS = frozenset(
     ).split()
 )
 
-#: Blocks of fewer characters are short; up to LONG, and beyond, stop-word density decides.
+#: Blocks of fewer characters are short; those beyond LONG need STOPS_LOW of stop words to be good, those between STOPS_HIGH to be near it.
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.12, 0.22
 MOST_LINKED = 0.35
+KNOWN_SHARE = 0.2
+#: Words of at most so many letters that a page's own prose repeats so often, and of so many of its words, count as stop words too.
+STOP_LETTERS, STOP_TIMES, STOP_SHARE = 4, 4, 0.005
+#: Prose within a container of an outside name beyond which share of the page's own overrules the name.
+WRAPPER_SHARE = 0.5
 
 GOOD, BAD, NEAR, BRIEF = 1, 0, 2, 3
+#: What a container is said to be: an article; neither; outside by element, by a name that may be a wrapper's; an article's own header.
+ARTICLE, PLAIN, OUTSIDE, WEAK, TITLE = 1, 0, -1, -2, -3
+
+
+@dataclass(slots=True)
+class Block:
+    """A block: its text, the characters of it within links, whether it is a heading, and its innermost container."""
+
+    text: str
+    linked: int
+    heading: bool
+    at: int
+
+
+@dataclass(slots=True)
+class Page:
+    """The blocks of a page in order, and its containers: the parent (0: the page itself) and kind of each."""
+
+    blocks: list[Block]
+    parents: list[int]
+    kinds: list[int]
+
+
+def _clean(parts: list[str]) -> str:
+    return _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> int:
+    if tag == "header" and in_article:
+        return TITLE
+    if tag == "form":
+        return WEAK
+    if tag in _OUTSIDE:
+        return OUTSIDE
+    if attrs and (_ROLE.search(attrs) or _HIDDEN.search(attrs)):
+        return OUTSIDE
+    if tag in ("article", "main"):
+        return ARTICLE
+    if not attrs or tag in ("html", "body"):
+        return PLAIN
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
+    if names and (found := _OUTSIDE_NAME.search(names)):
+        return OUTSIDE if found.group("apart") else WEAK
+    return ARTICLE if names and _ARTICLE_NAME.search(names) else PLAIN
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each silent element of that tag ends, by where its start tag ends; one that is never closed isn't in it."""
+    out, open_ = {}, []
+    for m in _ENDS[tag].finditer(page):
+        if m.group(1):
+            if open_:
+                out[open_.pop()] = m.end()
+                if tag not in _NESTED:
+                    open_.clear()
+        elif not (m.group().endswith("/>") and tag not in _RAW):
+            if tag not in _NESTED and tag not in _RAW:
+                open_.clear()  # what another one follows was never closed
+            if tag not in _RAW or not open_:
+                open_.append(m.end())
+    if tag in _RAW and open_:
+        out[open_[0]] = len(page)
+    return out
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """The blocks of a page in order: text, characters within links, outside (in a container without article), inside (in one), heading."""
-    page = _HEAD.sub(" ", page, count=1)
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def read(page: str) -> Page:
+    """The blocks of a page. Links hold until their end, the next link, or the end of the container that they began in."""
+    out: list[Block] = []
+    parents, kinds = [0], [PLAIN]
+    stack: list[tuple[str, int]] = []  # open elements and their containers
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open containers and what they are: -1 outside, 1 article, 0 neither
-    outside = inside = links = linked = headings = 0
-    at = 0
+    linked: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
+    link = -1  # how many elements were open where the open link began
+    heading = False
+    articles = at = 0
 
     def end_block():
-        nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", _html.unescape("".join(parts))).strip()
+            text = _clean(parts)
             if text:
-                out.append((text, linked, outside > 0, inside > 0, headings > 0))
+                n = len(text) if len(linked) == len(parts) else len(_clean(linked)) if linked else 0
+                out.append(Block(text, n, heading, stack[-1][1] if stack else 0))
             parts.clear()
-        linked = 0
+        linked.clear()
 
-    def leave(kind: int):
-        nonlocal outside, inside
-        if kind < 0:
-            outside -= 1
-        elif kind > 0:
-            inside -= 1
+    def close(k: int):
+        nonlocal articles, link
+        articles -= sum(kinds[c] == ARTICLE for _, c in stack[k:])
+        del stack[k:]
+        if link > k:
+            link = -1
 
     for m in _TOKEN.finditer(page):
+        if m.start() < at:
+            continue  # within a silent element
         if m.start() > at:
             run = page[at : m.start()]
             parts.append(run)
-            if links:
-                linked += len(run.strip())
+            if link >= 0:
+                linked.append(run)
         at = m.end()
         tag = m.group("tag")
         if tag is None:
-            if m.group("silent") is None:
-                continue
+            continue
+        tag, closing, attrs = tag.lower(), bool(m.group("close")), m.group("attrs")
+        if tag in _SILENT:
+            if not closing:
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = ends[tag].get(at, at)
             parts.append(" ")
+            if link >= 0:
+                linked.append(" ")
             continue
-        tag = tag.lower()
-        closing = bool(m.group("close"))
         if tag in _INLINE:
             if tag == "a":
-                links = max(0, links - 1) if closing else 1
-            elif tag in ("br", "wbr", "img"):
-                parts.append(" " if tag != "wbr" else "")
+                link = len(stack) if not closing and _HREF.search(attrs) else -1
+            elif tag in ("br", "img"):
+                parts.append(" ")
+                if link >= 0:
+                    linked.append(" ")
             continue
         end_block()
-        links = 0 if tag not in ("p",) else links
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            headings = 0 if closing else 1
+        if tag in _HEADINGS:
+            heading = not closing
         if tag in _VOID:
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for _, kind in stack[k:]:
-                        leave(kind)
-                    del stack[k:]
+                    close(k)
                     break
             continue
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or tag[0] == "h" and tag[1:].isdigit():
-            kind = _kind("", m.group("attrs"))
-            if kind >= 0:
-                continue  # needs no end, so it isn't followed unless its name puts it outside
-            if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                leave(stack.pop()[1])
-        else:
-            kind = _kind(tag, m.group("attrs"))
-        if m.group("attrs").rstrip().endswith("/"):
+        if stack and (stack[-1][0] == "p" or tag in _OPTIONAL and stack[-1][0] in _OPTIONAL[tag]):
+            close(len(stack) - 1)
+        kind = _kind(tag, attrs, articles > 0)
+        if (tag in _OPTIONAL or tag in _HEADINGS) and kind >= PLAIN:
+            continue  # needs no end, so it isn't followed unless its name puts it outside
+        if attrs.rstrip().endswith("/"):
             continue
-        stack.append((tag, kind))
-        if kind < 0:
-            outside += 1
-        elif kind > 0:
-            inside += 1
+        parents.append(stack[-1][1] if stack else 0)
+        kinds.append(kind)
+        stack.append((tag, len(kinds) - 1))
+        articles += kind == ARTICLE
     if at < len(page):
         parts.append(page[at:])
+        if link >= 0:
+            linked.append(page[at:])
     end_block()
-    return out
+    return Page(out, parents, kinds)
 
 
-def _kind(tag: str, attrs: str) -> int:
-    if tag in _OUTSIDE:
-        return -1
-    if tag in ("article", "main"):
-        return 1
-    if not attrs:
-        return 0
-    if _ROLE.search(attrs) or _HIDDEN.search(attrs):
-        return -1
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-    if not names or tag in ("html", "body"):
-        return 0
-    if _OUTSIDE_NAME.search(names):
-        return -1
-    return 1 if _ARTICLE_NAME.search(names) else 0
+def densities(blocks: list[Block]) -> list[float]:
+    """The share of stop words of each block: those of the list, and short words that the page's own unlinked prose repeats."""
+    words = [[w.lower() for w in _WORD.findall(b.text)] if len(b.text) >= SHORT else [] for b in blocks]
+    met = Counter(w for b, ws in zip(blocks, words, strict=True) if b.linked <= MOST_LINKED * len(b.text) for w in ws if len(w) <= STOP_LETTERS and w not in _STOPS)
+    least = max(STOP_TIMES, STOP_SHARE * sum(map(len, words)))
+    own = {w for w, n in met.items() if n >= least and w.isalpha()}
+    return [sum(w in _STOPS or w in own for w in ws) / max(1, len(ws)) for ws in words]
 
 
-def classify(found: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
-    """First pass: each block by itself. Outside or linked: bad. Short: brief. Else by length and density of stop words.
+def judge(blocks: list[Block], density: list[float]) -> list[int]:
+    """First pass: each block by itself. Linked: BAD. Short: BRIEF. Few stop words: BAD. Else GOOD if it is long, and NEAR or BRIEF by stop words.
 
-    Where no block that is neither of these reaches the lower bound of stop words, the page is in another language, and
-    length alone decides.
+    Where less than KNOWN_SHARE of the unlinked text that isn't short reaches the lower bound of stop words, the page is
+    in another language or script, or not of sentences, and length alone decides. Where no block is GOOD, NEAR ones are.
     """
-    has_article = any(b[3] for b in found)
-    out, poor, known = [], [], False
-    for text, linked, outside, inside, _ in found:
-        n = len(text)
-        if outside or (has_article and not inside):
-            out.append(BAD)
-        elif linked > MOST_LINKED * n:
+    out, poor = [], []
+    known = unknown = 0
+    for b, share in zip(blocks, density, strict=True):
+        n = len(b.text)
+        if b.linked > MOST_LINKED * n:
             out.append(BAD)
         elif n < SHORT:
             out.append(BRIEF)
+        elif share >= STOPS_LOW:
+            known += n
+            out.append(GOOD if n > LONG else NEAR if share >= STOPS_HIGH else BRIEF)
         else:
-            words = [w.lower() for w in _WORD.findall(text)]
-            share = sum(w in _STOPS for w in words) / max(1, len(words))
-            known |= share >= STOPS_LOW
-            if share >= STOPS_HIGH:
-                out.append(GOOD if n > LONG else NEAR)
-            elif share >= STOPS_LOW:
-                out.append(NEAR)
-            else:
-                if not inside:
-                    poor.append(len(out))
-                out.append(GOOD if inside and n > LONG else BRIEF if inside else BAD)
-    if not known:
+            unknown += n
+            poor.append(len(out))
+            out.append(BAD)
+    if known < KNOWN_SHARE * (known + unknown):
         for k in poor:
             out[k] = GOOD
-    return out
+    return out if GOOD in out else [GOOD if k == NEAR else k for k in out]
+
+
+def placed(page: Page, kinds: list[int]) -> tuple[list[bool], list[bool]]:
+    """Whether each block is outside (in a container that is said to hold no article), and inside (in one of an article).
+
+    Two things overrule what a container is said to be: that it holds more than WRAPPER_SHARE of the page's prose (by the
+    first pass), though its name is of an outside, and no article has text beyond it; and that otherwise no unlinked block
+    would be left, then the one that holds most.
+    """
+    said, parents, n = list(page.kinds), page.parents, len(page.kinds)
+    own, some = [0] * n, [False] * n
+    for b, k in zip(page.blocks, kinds, strict=True):
+        some[b.at] |= b.linked <= MOST_LINKED * len(b.text)
+        if k in (GOOD, NEAR):
+            own[b.at] += len(b.text)
+    mass = list(own)
+    within = [False] * n
+    for c in range(1, n):
+        within[c] = within[parents[c]] or said[c] == ARTICLE
+    articles = [int(a and b) for a, b in zip(some, within, strict=True)]  # containers with text of articles, at and below each
+    for c in range(n - 1, 0, -1):
+        mass[parents[c]] += mass[c]
+        articles[parents[c]] += articles[c]
+    for c in range(1, n):
+        if said[c] == WEAK and mass[c] > WRAPPER_SHARE * mass[0] and articles[c] == articles[0]:
+            said[c] = PLAIN
+    while True:
+        outside, inside, left = [False] * n, [False] * n, some[0]
+        top = -1  # the outermost outside container with most prose
+        for c in range(1, n):
+            p = parents[c]
+            inside[c] = inside[p] or said[c] == ARTICLE
+            outside[c] = outside[p] or said[c] < PLAIN
+            if not outside[c]:
+                left |= some[c]
+            elif not outside[p] and mass[c] and (top < 0 or mass[c] > mass[top]):
+                top = c
+        if left or top < 0:
+            break
+        said[top] = PLAIN
+    title = [k == TITLE for k in said]
+    return [outside[b.at] and not (b.heading and title[b.at]) for b in page.blocks], [inside[b.at] for b in page.blocks]
+
+
+def classify(page: Page) -> tuple[list[int], list[bool]]:
+    """The first pass with the prior: the label of each block, and whether it is inside an article's container.
+
+    Outside: BAD. Inside: what has few stop words is ambiguous (BRIEF) rather than BAD. Where such containers hold most of
+    the prose, what is in none and isn't GOOD by itself is ambiguous.
+    """
+    kinds = judge(page.blocks, densities(page.blocks))
+    outside, inside = placed(page, kinds)
+    inside = [i and not o for i, o in zip(inside, outside, strict=True)]
+    prose = [len(b.text) * (k in (GOOD, NEAR) and not o) for b, k, o in zip(page.blocks, kinds, outside, strict=True)]
+    framed = 2 * sum(p for p, i in zip(prose, inside, strict=True) if i) > sum(prose)
+    for k, b in enumerate(page.blocks):
+        if outside[k]:
+            kinds[k] = BAD
+        elif inside[k]:
+            if kinds[k] == BAD and b.linked <= MOST_LINKED * len(b.text):
+                kinds[k] = BRIEF
+        elif framed and kinds[k] == NEAR:
+            kinds[k] = BRIEF
+    return kinds, inside
 
 
-def settle(kinds: list[int], found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
-    """Second pass: near-good and brief blocks take the label of the nearest decided neighbour.
+def settle(kinds: list[int], inside: list[bool], heading: list[bool]) -> list[bool]:
+    """Second pass: which blocks stay. NEAR and BRIEF ones take the label of the nearest decided neighbour, by blocks between.
 
-    The distance is counted in blocks; at equal distance good wins for near-good blocks and headings, and for brief ones
-    in the article's container. With no decided neighbour, near-good is good, brief is good in an article's container.
+    An article's container is a border: a BAD block beyond it says nothing of a block within, nor a GOOD one within of a
+    BRIEF block beyond. Of neighbours as near as each other that differ, the GOOD one counts for NEAR blocks, headings and
+    what is inside, else the BAD one. With no neighbour that counts, NEAR blocks and what is inside stay, and all others
+    too if no block of the page is decided.
     """
     n = len(kinds)
-    ahead: list[tuple[int, int]] = [(n, -1)] * n  # distance and label of the nearest decided block before, then after
-    last = (-1, -1)
-    for i in range(n):
-        ahead[i] = (i - last[0], last[1]) if last[1] >= 0 else (n + 1, -1)
-        if kinds[i] in (GOOD, BAD):
-            last = (i, kinds[i])
-    last = (-1, -1)
-    keep = [False] * n
-    for i in range(n - 1, -1, -1):
-        if kinds[i] in (GOOD, BAD):
-            keep[i] = kinds[i] == GOOD
-            last = (i, kinds[i])
-            continue
-        behind = (last[0] - i, last[1]) if last[1] >= 0 else (n + 1, -1)
-        before = ahead[i]
-        inside = found[i][3]
-        # A container is a border: a bad block beyond it says nothing of a block within.
-        if inside:
-            options = [x for x in (before, behind) if x[1] >= 0 and (x[1] == GOOD)]
-            near_bad = [x for x, j in ((before, i - before[0]), (behind, i + behind[0])) if x[1] == BAD and 0 <= j < n and found[j][3] and not found[j][2]]
-            options += near_bad
-        else:
-            options = [x for x in (before, behind) if x[1] >= 0]
-        if not options:
-            keep[i] = inside or kinds[i] == NEAR
+
+    def nearest(order):
+        """Of each block: the distance and label of the nearest decided block before it in order that counts for it."""
+        got: list[tuple[int, int]] = [(n + 1, -1)] * n
+        last = {}  # by (label, inside): where last met
+        for i in order:
+            if kinds[i] in (GOOD, BAD):
+                last[kinds[i], inside[i]] = i
+                continue
+            near = [(abs(i - j), label) for (label, within), j in last.items() if not (inside[i] and not within and label == BAD) and not (within and not inside[i] and label == GOOD and kinds[i] == BRIEF)]
+            if near:
+                got[i] = min(near)
+        return got
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    undecided = not any(k in (GOOD, BAD) for k in kinds)
+    keep = []
+    for i, kind in enumerate(kinds):
+        if kind in (GOOD, BAD):
+            keep.append(kind == GOOD)
             continue
-        least = min(o[0] for o in options)
-        labels = {o[1] for o in options if o[0] == least}
-        if len(labels) == 1:
-            keep[i] = GOOD in labels or (inside and kinds[i] == NEAR)
+        least = min(before[i][0], after[i][0])
+        labels = {label for d, label in (before[i], after[i]) if d == least and label >= 0}
+        if not labels:
+            keep.append(inside[i] or kind == NEAR or undecided)
+        elif len(labels) == 1:
+            keep.append(GOOD in labels)
         else:
-            keep[i] = kinds[i] == NEAR or inside or found[i][4]
+            keep.append(kind == NEAR or inside[i] or heading[i])
     return keep
 
 
@@ -233,9 +368,10 @@ def main_text(page: str | None) -> str:
     """The blocks of the article, in page order, joined by newlines."""
     if not page:
         return ""
-    found = blocks(page)
-    keep = settle(classify(found), found)
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    found = read(page)
+    kinds, inside = classify(found)
+    keep = settle(kinds, inside, [b.heading for b in found.blocks])
+    return "\n".join(b.text for b, k in zip(found.blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", into: str = "text") -> DataFrame:
