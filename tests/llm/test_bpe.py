@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import pickle
 import random
 
 import pytest
@@ -18,7 +19,7 @@ THEIRS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, spec
 def test_perfect_hash():
     v = build_vocabulary(read_ranks(PATH))
     assert all(v.find(t) == r for t, r in RANKS.items())
-    assert sorted(v.slot_id.tolist()) == sorted(RANKS.values())
+    assert sorted(v.slot_id.tolist()) == sorted(RANKS.values()) and pickle.loads(pickle.dumps(v)).find(b"the") == RANKS[b"the"]
     rng = random.Random(1)
     for _ in range(5000):
         x = rng.randbytes(rng.randint(0, 6))
@@ -40,7 +41,27 @@ def test_ids_are_those_of_the_library():
     assert own.encode([long])[0].tolist() == THEIRS.encode_ordinary(long)
     ids, at = own.encode([None, "a b", "", "c"])
     assert at.tolist() == [0, 0, 2, 2, 3] and len(ids) == 3
-    assert merge(b"", RANKS.get) == []
+    assert merge([], [], {}.get, 1) == []
+
+
+def test_the_hash_resolves_what_is_in_the_vocabulary():
+    own = Encoder(build_vocabulary(RANKS), P.PATTERN)
+    text = "the people of the town zzkrtw had to carry water qqxv zzkrtw " * 50
+    found = own.split.findall(text)
+    assert own.encode([text, text])[0].tolist() == 2 * THEIRS.encode_ordinary(text)
+    known = sum(t.encode() in RANKS for t in found)
+    others = [t for t in found if t.encode() not in RANKS]
+    assert own.by_hash == 2 * known and own.by_merging == len(set(others)) and own.by_memory == 2 * len(others) - own.by_merging
+    assert not set(own.place) & {t for t in found if t.encode() in RANKS}
+    with pytest.raises(ValueError, match="single bytes"):
+        build_vocabulary({b"a": 0})
+
+
+def test_very_long_pre_tokens():
+    own, rng = Encoder(build_vocabulary(RANKS), P.PATTERN), random.Random(4)
+    for n in (1000, 70_000):
+        word = "".join(rng.choice("abcdeé") for _ in range(n))
+        assert own.encode([f"a {word} b"])[0].tolist() == THEIRS.encode_ordinary(f"a {word} b")
 
 
 def test_white_space_of_all_kinds():
