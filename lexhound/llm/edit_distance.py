@@ -8,7 +8,11 @@ import numpy as np
 PAIRS = 2048
 
 
-def _trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def trim(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """a and b without what they begin and end with alike, which takes no edit."""
     n = min(len(a), len(b))
     differ = a[:n] != b[:n]
@@ -32,7 +36,7 @@ def distances(pairs: list[tuple[str, str]], bound: int) -> np.ndarray:
     for k, (x, y) in enumerate(pairs):
         if abs(len(x) - len(y)) > bound:
             continue
-        a, b = _trim(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32))
+        a, b = trim(code_points(x), code_points(y))
         if len(a) < len(b):
             a, b = b, a
         if not len(b):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,12 @@ from pyspark.sql import types as T
 
 from .common import WORD, chunks, materialise, text_buffers
 from .components import components
-from .edit_distance import distances
+from .edit_distance import code_points, distances, trim
 
 #: A bucket that indexes more lines than this is cut up by second segments.
 HOT_BUCKET = 128
+#: Ids of lines that a task remembers so as to index copies once (a power of two).
+SEEN = 1 << 18
 #: Candidate lines up to this many (16 MB of ids) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,20 +28,40 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CHUNK = 1 << 19
 
 
+#: Lines of so many characters may differ in a stretch. Their lengths are in bands, each 1.2 times the one before.
+STRETCHED = 48
+_BANDS = [STRETCHED]
+while _BANDS[-1] < 1 << 40:
+    _BANDS.append(_BANDS[-1] * 6 // 5)
+_BANDS = np.array(_BANDS, np.int64)
+
+
 @dataclass(frozen=True)
 class Closeness:
-    """Two lines are near if at most min(max_edits, n // chars_per_edit) edits part them, n the code points of the shorter."""
+    """Which lines are near, n the code points of the shorter.
+
+    Those that at most min(max_edits, n // chars_per_edit) edits part, wherever they are; and those that differ in one
+    stretch of at most n // chars_per_stretch code points on either side, so what may differ grows with the line; for n of
+    STRETCHED and more (chars_per_stretch 0: none).
+    """
 
     max_edits: int = 2
     chars_per_edit: int = 16
+    chars_per_stretch: int = 16
 
     def __post_init__(self):
         if self.max_edits < 0 or self.chars_per_edit < 4:
             raise ValueError("max_edits must not be negative, chars_per_edit at least 4")
+        if self.chars_per_stretch and self.chars_per_stretch < 16:
+            raise ValueError("chars_per_stretch must be 0 or at least 16")
 
     def edits(self, n):
         return np.minimum(self.max_edits, np.asarray(n) // self.chars_per_edit)
 
+    def stretch(self, n):
+        n = np.asarray(n)
+        return np.where(n >= STRETCHED, n // self.chars_per_stretch, 0) if self.chars_per_stretch else np.zeros_like(n)
+
 
 def segments(n: int, parts: int) -> list[tuple[int, int]]:
     """Start and length of each part of n characters; the lengths differ by at most one, the longer ones come last."""
@@ -102,9 +125,12 @@ def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Lines:
-    """The distinct lines of a chunk that are long enough for edits, with hashes of any of their parts."""
+    """The distinct lines of a chunk that are long enough for edits, with hashes of any of their parts.
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, close: Closeness):
+    Those that are in seen (a table of SEEN ids, which is updated) are left out.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, close: Closeness, seen: np.ndarray | None = None):
         self.hashes = Substrings(data)
         starts, ends = line_bounds(data, at)
         # in code points
@@ -114,6 +140,11 @@ class Lines:
         raw = data.tobytes()
         ids = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
         self.ids, keep = np.unique(ids, return_index=True)
+        if seen is not None:
+            place = (self.ids & np.uint64(SEEN - 1)).astype(np.int64)
+            new = seen[place] != self.ids
+            self.ids, keep = self.ids[new], keep[new]
+            seen[place[new]] = self.ids
         self.first, self.n = first[long[keep]], n[long[keep]]
 
     def indexed(self, close: Closeness):
@@ -153,25 +184,59 @@ class Lines:
                     yield _key(self.hashes.hash(a, a + size), n, k), use, k, n, start
 
 
-def _keys(docs: DataFrame, close: Closeness, probing: bool) -> DataFrame:
-    """(key, id) of the segments, or of the substrings that probe for them, of every line."""
+    def tails(self, close: Closeness, probing: bool):
+        """(key, place of the line, side, band) of the beginning (side 0) and the end of each line that a stretch may part from others.
+
+        A stretch of n // 16 leaves 15 of 32 parts of the line at its beginning or end. Lengths are in bands, of which a
+        line is indexed in its own and probes the one below if a shorter line there may be near.
+        """
+        if not close.chars_per_stretch:
+            return
+        band = np.searchsorted(_BANDS, self.n, side="right") - 1
+        if probing:
+            below = np.where(band > 0, _BANDS[np.maximum(band, 1)] - 1, 0)  # the longest of the band below
+            use = np.flatnonzero((band > 0) & (self.n <= below + close.stretch(below)))
+            band = band - 1
+        else:
+            use = np.flatnonzero(band >= 0)
+        band = band[use]
+        for side in (0, 1):
+            yield self.tail(use, side, band, 45), use, side, band
+
+    def tail(self, use: np.ndarray, side: int, band: np.ndarray, percent: int) -> np.ndarray:
+        """The key of so much of each line's beginning or end, by the least length of its band."""
+        size = _BANDS[band] * percent // 100
+        a = self.first[use] + (0 if side == 0 else self.n[use] - size)
+        return _key(self.hashes.hash(a, a + size), band, 100 + side)
+
+
+def _keys(docs: DataFrame, close: Closeness) -> DataFrame:
+    """(key, id, probe): of every line its segments, and the substrings that probe for those of others, in one pass.
+
+    Copies of a line are left out in a task that has just met it, so a line however frequent comes about once a task.
+    """
 
     def run(batches):
+        seen = np.zeros(SEEN, np.uint64)
+        seen[0] = 1  # no line's: the place of id 1 is another
         for batch in batches:
             data, at = text_buffers(batch.column(0))
             for i, j in chunks(at, _CHUNK):
-                lines = Lines(data[at[i] : at[j]], at[i : j + 1] - at[i], close)
-                for key, use, *_ in lines.probes(close) if probing else lines.indexed(close):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.ids[use].view(np.int64))], ["key", "id"])
+                lines = Lines(data[at[i] : at[j]], at[i : j + 1] - at[i], close, seen)
+                for probe, entries in ((False, (lines.indexed(close), lines.tails(close, False))), (True, (lines.probes(close), lines.tails(close, True)))):
+                    for key, use, *_ in chain(*entries):
+                        if len(use):
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.ids[use].view(np.int64)), pa.array(np.full(len(use), probe))], ["key", "id", "probe"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, id long")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, id long, probe boolean")
 
 
 def _refined(lines: DataFrame, close: Closeness, probing: bool) -> DataFrame:
-    """(line, keys array<long>) to (key, id): for entries under hot keys, keys of two more segments.
+    """(line, keys array<long>) to (key, id): for entries under hot keys, keys of more of the line, one of which near lines share too.
 
     Where a segment k is equal, at most k edits are before it and edits - k after it; so of k + 1 segments of what is
-    before, and of edits - k + 1 of what is after, one each is equal too.
+    before, and of edits - k + 1 of what is after, one each is equal too. Where 45 hundredths are equal at one end,
+    and there are less than 70, a stretch of n // 16 leaves over 20 at the other.
     """
 
     def run(batches):
@@ -201,6 +266,10 @@ def _refined(lines: DataFrame, close: Closeness, probing: bool) -> DataFrame:
                                     side.append((q, int(lines.hashes.hash(at, at + w)[0])))
                         sides.append(side)
                     out += [xxhash.xxh64_intdigest(b"%d|%d|%d|%d|%d" % (h, *x, *y)) for x in sides[0] for y in sides[1]]
+                for key, use, side, band in chain(lines.tails(close, False), lines.tails(close, True) if probing else ()):
+                    for h in key.view(np.int64).tolist():
+                        if h in hot:
+                            out += [xxhash.xxh64_intdigest(b"%d|%d" % (h, int(lines.tail(use, s, band, part)[0]))) for s, part in ((side, 70), (1 - side, 20))]
                 got = np.unique(np.array(out, np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(np.full(len(got), lines.ids[0]).view(np.int64))], ["key", "id"])
 
@@ -219,7 +288,7 @@ def _texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
 
-def _moved(index: DataFrame, probes: DataFrame) -> DataFrame:
+def _met(index: DataFrame, probes: DataFrame) -> DataFrame:
     a, p = index.alias("a"), probes.alias("p")
     met = p.join(a, (F.col("a.key") == F.col("p.key")) & (F.col("a.id") != F.col("p.id")))
     return met.select(F.least("a.id", "p.id").alias("x"), F.greatest("a.id", "p.id").alias("y"))
@@ -228,33 +297,29 @@ def _moved(index: DataFrame, probes: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, close: Closeness, hot: int = HOT_BUCKET) -> DataFrame:
     """Pairs (x, y) of ids of lines of docs(doc_id, text) that may be near; no near pair of different lines is missing.
 
-    Each line is in a bucket of the index once, however often it occurs. Buckets of more than hot lines are taken out of
-    the join, and what falls into them is joined by keys of two more segments each instead, which near lines share too.
+    Of all entries, which are shuffled once, only those stay under whose key a line is indexed and another one stands.
+    Buckets of more than hot lines are taken out of the join, and what falls into them is joined by keys of more of the
+    line instead, which near lines share too.
     """
-    probes = _keys(docs, close, True)
-    index = _keys(docs, close, False).repartition("key").dropDuplicates(["key", "id"])
-    index = materialise(index.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "lines-index")
-    calm = index.where(F.col("n") <= hot).select("key", "id")
-    a, b = calm.alias("a"), calm.alias("b")
-    same = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    found = same.unionByName(_moved(calm, probes))
-    crowded = index.where(F.col("n") > hot).select("key").distinct()
+    bucket = Window.partitionBy("key")
+    entries = _keys(docs, close).withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket), "unmet": F.min("probe").over(bucket)})
+    entries = materialise(entries.where("low <> high AND NOT unmet").select("key", "id", "probe").distinct(), "lines-entries")
+    sizes = entries.where("NOT probe").groupBy("key").count()
+    crowded = materialise(sizes.where(F.col("count") > hot).select("key"), "lines-hot")
     n = crowded.count()
+    mark = F.broadcast(crowded) if n <= BROADCAST_IDS else crowded
+    calm = entries.join(mark, "key", "left_anti") if n else entries
+    found = _met(calm.where("NOT probe"), calm)
     if n:
-        mark = F.broadcast(crowded) if n <= BROADCAST_IDS else crowded
-        mine = materialise(index.where(F.col("n") > hot).select("key", "id"), "lines-hot")
-        second = []
-        for entries in (mine, mine.unionByName(probes.join(mark, "key", "left_semi"))):
-            held = materialise(entries.groupBy("id").agg(F.collect_set("key").alias("keys")), "lines-refined")
-            texts = _texts(docs, held.select("id"), held.count())
-            second.append(_refined(texts.join(held, F.col("h1") == F.col("id")).select("line", "keys"), close, bool(second)))
-        found = found.unionByName(_moved(*second))
+        held = materialise(entries.join(mark, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")), "lines-refined")
+        texts = materialise(_texts(docs, held.select("id"), held.count()).join(held, F.col("h1") == F.col("id")).select("line", "keys"), "lines-hot-texts")
+        found = found.unionByName(_met(_refined(texts, close, False), _refined(texts, close, True)))
     return found.distinct()
 
 
 def line_links(docs: DataFrame, close: Closeness = Closeness(), hot: int = HOT_BUCKET) -> DataFrame:  # noqa: B008
     """Pairs (a1, a2, b1, b2) of the 128-bit ids of different lines of docs(doc_id, text) that are near, each once."""
-    if not close.max_edits:
+    if not close.max_edits and not close.chars_per_stretch:
         return docs.sparkSession.createDataFrame([], "a1 long, a2 long, b1 long, b2 long")
     pairs = materialise(candidates(docs, close, hot), "lines-candidates")
     ids = materialise(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "lines-ids")
@@ -269,8 +334,11 @@ def line_links(docs: DataFrame, close: Closeness = Closeness(), hot: int = HOT_B
             for i in range(0, batch.num_rows, 4096):
                 rows = batch.slice(i, 4096)
                 lines = list(zip(rows.column(4).to_pylist(), rows.column(5).to_pylist(), strict=True))
-                allowed = close.edits([min(len(x), len(y)) for x, y in lines]) if lines else np.zeros(0, np.int64)
-                near = pa.array(distances(lines, close.max_edits) <= allowed)
+                short = np.array([min(len(x), len(y)) for x, y in lines], np.int64)
+                near = distances(lines, close.max_edits) <= close.edits(short)
+                rest = np.flatnonzero(~near & (close.stretch(short) > 0))
+                near[rest] = [max(map(len, trim(*map(code_points, lines[k])))) <= most for k, most in zip(rest.tolist(), close.stretch(short[rest]).tolist(), strict=True)]
+                near = pa.array(near)
                 yield pa.RecordBatch.from_arrays([rows.column(c).filter(near) for c in range(4)], ["a1", "a2", "b1", "b2"])
 
     return materialise(both.mapInArrow(verify, T.StructType([T.StructField(c, T.LongType()) for c in ("a1", "a2", "b1", "b2")])), "lines-links")

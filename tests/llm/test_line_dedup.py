@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lexhound.llm.edit_distance import distances
-from lexhound.llm.line_dedup import Closeness, dedup_lines, line_bounds, line_classes, segments
+from lexhound.llm.line_dedup import _BANDS, Closeness, candidates, dedup_lines, line_bounds, line_classes, segments
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -53,6 +53,19 @@ def test_segments_and_bounds():
     assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"xy", b"z", b"end"]
 
 
+def near(a, b, close):
+    n = min(len(a), len(b))
+    allowed = min(close.max_edits, n // close.chars_per_edit)
+    if abs(len(a) - len(b)) <= allowed and levenshtein(a, b) <= allowed:
+        return True
+    most = n // close.chars_per_stretch if close.chars_per_stretch and n >= 48 else 0
+    if not most or abs(len(a) - len(b)) > most:
+        return False
+    begin = next((k for k in range(n) if a[k] != b[k]), n)
+    end = next((k for k in range(n - begin) if a[-1 - k] != b[-1 - k]), n - begin)
+    return max(len(a), len(b)) - begin - end <= most
+
+
 def brute(rows, close):
     lines = {}
     for doc, text in rows:
@@ -61,8 +74,7 @@ def brute(rows, close):
                 lines.setdefault(line, set()).add((doc is None, doc if doc is not None else 0, k))
     linked = {x: set() for x in lines}
     for a, b in combinations(lines, 2):
-        allowed = min(close.max_edits, min(len(a), len(b)) // close.chars_per_edit)
-        if abs(len(a) - len(b)) <= allowed and levenshtein(a, b) <= allowed:
+        if near(a, b, close):
             linked[a].add(b)
             linked[b].add(a)
     head = {}
@@ -86,12 +98,24 @@ def corpus(seed, letters):
     for doc in range(40):
         own = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3]), letters) for _ in range(rng.randint(1, 5))]
         rows.append((doc, "\n".join(own)))
+    # longer ones that differ in a stretch
+    for doc in range(40, 60):
+        own = []
+        for line in rng.choices(base, k=2):
+            n = rng.choice((47, 48, 60, 100, 170))
+            line = (line * 20)[:n]
+            size, put = rng.randint(0, n // 12), rng.randint(0, n // 12)
+            at = rng.choice((0, n - size, rng.randint(0, n - size)))
+            own.append(line[:at] + "".join(rng.choice(letters) for _ in range(put)) + line[at + size :])
+        rows.append((doc, "\n".join(own)))
     return rows
 
 
-@pytest.mark.parametrize(("seed", "letters", "hot", "edits"), [(1, "abcdefgh é", 10**6, 2), (2, "ab", 1, 2), (3, "abcdefgh", 1, 2), (4, "abc", 2, 1), (5, "abcd", 0, 3)])
-def test_classes_are_those_of_brute_force(spark, seed, letters, hot, edits):
-    rows, close = corpus(seed, letters), Closeness(edits, 9)
+@pytest.mark.parametrize(
+    ("seed", "letters", "hot", "edits", "stretch"), [(1, "abcdefgh é", 10**6, 2, 16), (2, "ab", 1, 2, 0), (3, "abcdefgh", 1, 2, 16), (4, "abc", 2, 1, 16), (5, "abcd", 0, 3, 20), (6, "abcé", 0, 0, 16)]
+)
+def test_classes_are_those_of_brute_force(spark, seed, letters, hot, edits, stretch):
+    rows, close = corpus(seed, letters), Closeness(edits, 9, stretch)
     rows += [(100, None), (101, ""), (102, "  \n\t"), (None, rows[3][1])]
     lines, linked, head = brute(rows, close)
     assert sum(map(len, linked.values())) > 20
@@ -132,3 +156,32 @@ def test_many_copies_and_a_very_long_line(spark):
     rows = [(k, "a line that a third of all rows hold, or more") for k in range(300)] + [(1000, "x" * 200_000), (1001, "x" * 199_999 + "y")]
     got = line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["class_doc_id"], r["n_links"], r["n_copies"]) for r in got} == {(0, 0, 300), (1000, 1, 1)}
+
+
+def test_any_stretch_is_found(spark):
+    """A line of any length near a border of bands, with a stretch of any place and size that still counts."""
+    rng, close, rows = random.Random(8), Closeness(), []
+    for k, low in enumerate(_BANDS[:14].tolist()):
+        for n in (low - 1, low, low * 17 // 16 + 1):
+            line = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            most = n // 16
+            for size, put in ((most, most), (0, most), (most, 0), (1, most)):
+                at = rng.choice((0, n - size, n // 2, rng.randint(0, n - size)))
+                rows.append((len(rows), line + "\n" + line[:at] + "".join(rng.choice("XYZ") for _ in range(put)) + line[at + size :]))
+    for hot in (10**6, 0):
+        got = line_classes(spark.createDataFrame(rows, "doc_id long, text string"), close, hot=hot).collect()
+        by_line = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["n_links"]) for r in got}
+        for doc, text in rows:
+            a, b = text.split("\n")
+            assert near(a, b, close) or min(len(a), len(b)) < 48 or min(len(a), len(b)) // 16 < max(len(a), len(b)) - min(len(a), len(b))
+            if near(a, b, close):
+                assert by_line[doc, 0][:2] == by_line[doc, 1][:2], (a, b)
+
+
+def test_copies_are_indexed_once_a_task(spark):
+    rows = [(k, f"a line that all documents hold, however many there are of them, and then some\nown {k} line {k * 7919} of words") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from lexhound.llm.line_dedup import _keys
+
+    counts = _keys(df, Closeness()).groupBy("id").count().orderBy("count", ascending=False).limit(2).collect()
+    assert counts[0]["count"] <= 4 * 32  # tasks, and entries of a line
