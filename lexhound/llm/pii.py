@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,25 +19,35 @@ from .feistel import Feistel, walk
 #: Values whose pseudonyms one Python worker remembers; beyond that it starts anew.
 REMEMBERED = 100_000
 #: Texts without any of these hold nothing to replace.
-_PREFILTER = r"[0-9@]|[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{16}"
+_PREFILTER = r"[0-9@]|[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{16}|(?i:passw|passphrase|pwd)|gh[pousr]_|github_pat_|AKIA|ASIA|PRIVATE KEY"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 #: Of longer values so many characters at a time are permuted.
 _PIECE = 4096
 # Every pattern starts at a border and repeats boundedly or possessively, so a text of any kind is scanned in linear time.
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+_EMAIL = re.compile(r"(?<![\w.%+&~-])[\w%+&~-][\w.%+&~'-]*+@(?:[^\W_](?:[\w-]{0,62})\.){1,8}[^\W\d_]{2,24}(?![\w-])")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")
+_IP6 = re.compile(r"(?<![\w.:])(?=[^\s]{0,38}[0-9])(?:(?:[0-9a-f]{1,4}:){1,7}(?::?[0-9a-f]{1,4}){1,7}|(?:[0-9A-F]{1,4}:){1,7}(?::?[0-9A-F]{1,4}){1,7})(?![\w:]|\.\d)")
 _CARD = re.compile(r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|(?=[ .-]?\d))(?:[ .-]?\d{1,4}){2,6}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)")
+_PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|(?=[ .-]?\d))(?:[ .-]?\d{1,4}){2,6}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,7})(?!\d)")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ISO_DATE = re.compile(r"(?<![\d./-])(\d{4})([-/.])(\d{2})\2(\d{2})(?![\d]|[./-]\d)")
-_DAY_DATE = re.compile(r"(?<![\d./-])(\d{2})([-/.])(\d{2})\2(\d{4})(?![\d]|[./-]\d)")
+_LOW_IBAN = re.compile(r"(?<![A-Za-z0-9])[a-z]{2}\d{2}[a-z0-9]{11,30}(?![A-Za-z0-9])")
+_ISO_DATE = re.compile(r"(?<![\d./-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d]|[./-]\d)")
+_DAY_DATE = re.compile(r"(?<![\d./-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d]|[./-]\d)")
 _VALUE, _ASSIGNED = r"(?:[A-Za-z0-9+/_-]|\.(?=[A-Za-z0-9+/_-]))", r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?"
-_SECRET = re.compile(
-    r"(?i)(?<![A-Za-z0-9])(?:[a-z]{1,20}[_-]){0,3}"
-    rf"(?:(?:token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|bearer){_ASSIGNED}(?={_VALUE}{{16}})|(?:password|passwd|passphrase|pwd){_ASSIGNED}(?={_VALUE}{{4}}))({_VALUE}++)"
+_NAME = r"(?i)(?<![A-Za-z0-9])(?:[a-z]{1,20}[_-]){0,3}"
+_SECRET = re.compile(rf"{_NAME}(?:token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|bearer){_ASSIGNED}(?={_VALUE}{{16}})({_VALUE}++)")
+# After a colon, where prose may follow, a password holds a digit.
+_PASSWORD = re.compile(
+    rf"{_NAME}(?:password|passwd|passphrase|pwd)[\"']?[ \t]{{0,4}}(?:=[ \t]{{0,4}}[\"']?|:[ \t]{{0,4}}[\"']?(?=[^\s\"'<>,;&=]*[0-9]))(?=[^\s\"'<>,;&=]{{4}})([^\s\"'<>,;&=]*[A-Za-z0-9])"
 )
+# Tokens that their beginning gives away, which stays.
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|gh[pousr]_(?=[A-Za-z0-9]{36})|github_pat_(?=\w{22})|xox[abprs]-(?=[A-Za-z0-9-]*\d)(?=[A-Za-z0-9-]{10})"
+    r"|(?:sk|pk|rk)_(?:live|test)_(?=[A-Za-z0-9]{16})|(?:sk-|glpat-)(?=[A-Za-z_-]*\d)(?=[\w-]{20})|AIza(?=[\w-]{35})|eyJ(?=[\w-]{8,}+\.[\w-]{8})|[Bb]earer (?=[A-Za-z_./+~-]*\d)(?=[\w./+~-]{16}))([\w/+~-]+(?:\.[\w/+~-]+)*)"
+)
+_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END")
 # Runs of groups, in which cards and IBANs are looked for group by group, and what a card or an IBAN looks like.
 _RUNS = {"card": re.compile(r"(?<![\d.+-])\d+(?:[ -]\d+)*+"), "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]++(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+")}
 _GROUP = re.compile(r"[A-Z0-9]+")
@@ -57,6 +68,31 @@ def _secret_kind(text: str) -> str | None:
     return "letters" if digit else None
 
 
+def _password_kind(text: str) -> str:
+    return _secret_kind(text) or "plain"
+
+
+_ALPHABETS: dict[str, str] = {}
+
+
+def _alphabet(c: str) -> str:
+    """The characters that c may become: digits, ASCII letters of its case, or letters of its case near it in its script; else c alone."""
+    got = _ALPHABETS.get(c)
+    if got is None:
+        if "0" <= c <= "9":
+            got = "0123456789"
+        elif c.isascii():
+            got = "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else c
+        elif c.isalpha():
+            low = ord(c) & ~31
+            near = (chr(k) for k in range(low, low + 32))
+            got = "".join(x for x in near if x.isalpha() and not x.isascii() and (x.islower(), x.isupper()) == (c.islower(), c.isupper()))
+        else:
+            got = c
+        _ALPHABETS[c] = got
+    return got
+
+
 def luhn_digit(body: str) -> int:
     """The check digit that makes body valid."""
     total = 0
@@ -76,6 +112,14 @@ def _mod97(text: str) -> int:
     return n
 
 
+def _ip6_valid(text: str) -> bool:
+    try:
+        IPv6Address(text)
+    except ValueError:
+        return False
+    return sum(map(bool, text.split(":"))) >= 4
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -123,7 +167,7 @@ class Pseudonymiser:
         self._memory: dict[tuple[str, ...], str] = {}
         #: In order of precedence where two overlap.
         self.kinds: list[tuple[str, re.Pattern, int, Callable[[str], str | None]]] = [
-            ("secret", _SECRET, 1, self.secret), ("email", _EMAIL, 0, self.email), ("iban", _IBAN, 0, self.iban), ("date", _ISO_DATE, 0, self.iso_date),
+            ("secret", _SECRET, 1, self.secret), ("secret", _PASSWORD, 1, self.password), ("secret", _TOKEN, 1, self.token), ("secret", _PEM, 1, self.token), ("email", _EMAIL, 0, self.email), ("iban", _IBAN, 0, self.iban), ("iban", _LOW_IBAN, 0, self.low_iban), ("ip", _IP6, 0, self.ip6), ("date", _ISO_DATE, 0, self.iso_date),
             ("date", _DAY_DATE, 0, self.day_date), ("ip", _IP, 0, self.ip), ("ssn", _SSN, 0, self.ssn), ("card", _CARD, 0, self.card), ("phone", _PHONE, 0, self.phone),
         ]
 
@@ -131,19 +175,19 @@ class Pseudonymiser:
         return self._step(value, size, kind.encode())
 
     def letters(self, kind: str, text: str) -> str:
-        """Digits become digits, letters letters of the same case; other characters stay."""
+        """Digits become digits, letters letters of the same case and script; other characters stay."""
         if len(text) > _PIECE:
             return "".join(self.letters(kind, text[i : i + _PIECE]) for i in range(0, len(text), _PIECE))
         value, size = 0, 1
         for c in text:
-            r = 10 if c.isdigit() else 26 if c.isalpha() else 1
-            size *= r
-            value = value * r + (int(c) if r == 10 else ord(c.lower()) - 97 if r == 26 else 0)
+            own = _alphabet(c)
+            size *= len(own)
+            value = value * len(own) + own.index(c)
         value, out = self._map(kind, value, size), []
         for c in reversed(text):
-            r = 10 if c.isdigit() else 26 if c.isalpha() else 1
-            value, d = divmod(value, r)
-            out.append(c if r == 1 else str(d) if r == 10 else chr((97 if c.islower() else 65) + d))
+            own = _alphabet(c)
+            value, d = divmod(value, len(own))
+            out.append(own[d])
         return "".join(reversed(out))
 
     def _number(self, kind: str, digits: str) -> str:
@@ -160,6 +204,15 @@ class Pseudonymiser:
         got = walk(self._hex, text.lower(), lambda t: _secret_kind(t) == own)
         return got.upper() if text != text.lower() else got
 
+    def password(self, text: str) -> str:
+        own = _password_kind(text)
+        if own != "hex":
+            return walk(lambda t: self.letters("secret", t), text, lambda t: _password_kind(t) == own)
+        return self.secret(text)
+
+    def token(self, text: str) -> str:
+        return self.letters("secret", text)
+
     def _hex(self, text: str) -> str:
         pieces = [text[i : i + _PIECE] for i in range(0, len(text), _PIECE)]
         return "".join(f"{self._map(f'hex{len(p)}', int(p, 16), 16 ** len(p)):0{len(p)}x}" for p in pieces)
@@ -176,6 +229,24 @@ class Pseudonymiser:
         n = self._map("ip", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32)
         return ".".join(map(str, n.to_bytes(4, "big")))
 
+    def ip6(self, text: str) -> str | None:
+        """Whole, or with one "::"; of at least four written groups. Each group keeps its length."""
+        if not _ip6_valid(text):
+            return None
+        upper = text != text.lower()
+        digits = text.replace(":", "").lower()
+
+        def whole(value: int) -> str:
+            it = iter(f"{value:0{len(digits)}x}")
+            got = "".join(c if c == ":" else next(it) for c in text)
+            return got.upper() if upper else got
+
+        def allowed(value: int) -> bool:
+            got = whole(value)
+            return (got != got.lower()) == upper and _IP6.fullmatch(got) is not None
+
+        return whole(walk(lambda v: self._map(f"ip6{len(digits)}", v, 16 ** len(digits)), int(digits, 16), allowed))
+
     def card(self, text: str, allowed: Callable[[str], bool] | None = None) -> str | None:
         if not _card_valid(text):
             return None
@@ -207,7 +278,7 @@ class Pseudonymiser:
         return _refill(text, str(walk(lambda v: self._map("ssn", v, 10**9), value, valid)).zfill(9))
 
     def phone(self, text: str) -> str | None:
-        head = re.match(r"\+(?:1(?=\D*\d{3}\D*\d{3}\D*\d{4}$)|\d{1,3})", text)
+        head = re.match(r"\+(?:1(?=\D*\d{3}\D*\d{3}\D*\d{4}$)|\d{1,3})|0(?=\d{2,4}[ /-]\d{5,7}$)", text)
         kept = head.group() if head else ""
         d = _digits(text[len(kept) :])
         if not 7 <= len(d) <= 14:
@@ -228,6 +299,10 @@ class Pseudonymiser:
 
         return whole(walk(lambda r: self.letters("iban" + plain[:2], r), plain[4:], lambda r: allowed(whole(r))))
 
+    def low_iban(self, text: str) -> str | None:
+        got = self.iban(text.upper())
+        return got and got.lower()
+
     def _grouped(self, kind: str, text: str, found: list[tuple[int, int, str, str]]) -> None:
         """Adds to found the cards or IBANs of whole groups of text, other numbers beside them or not.
 
@@ -266,18 +341,20 @@ class Pseudonymiser:
         day = _ordinal(y, m, d)
         if day is None:
             return None
-        got = self._date("date", day)
-        return f"{got.year:04d}{text[4]}{got.month:02d}{text[7]}{got.day:02d}"
+        _, month, day_of = re.split(r"[-/.]", text)
+        got = self._date("date", day, lambda x: _as_long(x.month, month) and _as_long(x.day, day_of))
+        return f"{got.year:04d}{text[4]}{got.month:0{len(month)}d}{text[4]}{got.day:0{len(day_of)}d}"
 
     def day_date(self, text: str) -> str | None:
         """Day first where that is a date; else month first, and then it stays a date that can't be read day first."""
-        a, b, y = (int(x) for x in re.split(r"[-/.]", text))
+        first, second, year = re.split(r"[-/.]", text)
+        a, b, y, mark = int(first), int(second), int(year), text[len(first)]
         if (day := _ordinal(y, b, a)) is not None:
-            got = self._date("date", day)
-            return f"{got.day:02d}{text[2]}{got.month:02d}{text[5]}{got.year:04d}"
+            got = self._date("date", day, lambda x: _as_long(x.day, first) and _as_long(x.month, second))
+            return f"{got.day:0{len(first)}d}{mark}{got.month:0{len(second)}d}{mark}{got.year:04d}"
         if (day := _ordinal(y, a, b)) is not None:
-            got = self._date("date-month-first", day, lambda x: x.day > 12)
-            return f"{got.month:02d}{text[2]}{got.day:02d}{text[5]}{got.year:04d}"
+            got = self._date("date-month-first", day, lambda x: x.day > 12 and _as_long(x.month, first))
+            return f"{got.month:0{len(first)}d}{mark}{got.day:0{len(second)}d}{mark}{got.year:04d}"
         return None
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -301,10 +378,10 @@ class Pseudonymiser:
                     a, b = m.span(group)
                 if at and found[at - 1][1] > a:
                     continue
-                key = (kind, m.group(group))
+                key = (kind, make.__name__, m.group(group))
                 new = self._memory.get(key)
                 if new is None:
-                    new = make(key[1])
+                    new = make(key[2])
                     if new is None:
                         continue
                     self._memory[key] = new
@@ -316,6 +393,11 @@ class Pseudonymiser:
         return "".join([*out, text[at:]]) if found else text, [(k, a, b) for a, b, k, _ in found]
 
 
+def _as_long(value: int, written: str) -> bool:
+    """Whether value can be written with as many digits: any with two, to 9 with one."""
+    return len(written) == 2 or value < 10
+
+
 def _ordinal(y: int, m: int, d: int) -> int | None:
     try:
         day = date(y, m, d).toordinal()
@@ -333,10 +415,12 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans: str = "pii_spans", backwards: bool = False) -> DataFrame:
     """docs with validated personal data in text_col replaced by pseudonyms, and a column of what was found where.
 
-    Kinds: e-mail addresses, IPv4 addresses, card numbers (Luhn), IBANs (mod 97), US social security numbers, telephone
-    numbers, dates of 1900 to 2099, and the values of assignments to tokens and keys (of 16 characters and more) and to
-    passwords (of 4 and more). Such a value is of ASCII letters, digits and + / _ - and dots within it, as long as it may
-    be, and holds a digit or is of 16 and more hexadecimal characters; others stay. Each keeps its length
+    Kinds: e-mail addresses (of letters of any script), IPv4 and IPv6 addresses, card numbers (Luhn), IBANs (mod 97), US
+    social security numbers, telephone numbers, dates of 1900 to 2099, tokens that begin as those of well-known services
+    do, PEM private keys, and the values of assignments to tokens and keys (of 16 characters and more) and to passwords
+    (of 4 and more, after a colon with a digit). Values of tokens are of ASCII letters, digits and + / _ - and dots within
+    them, as long as they may be, and hold a digit or are of 16 and more hexadecimal characters; passwords are of
+    anything but blanks, quotes and < > , ; & =. Others stay. Each keeps its length
     (but for octets of addresses), punctuation and check digits. With backwards and the same key it is undone. Rows stay
     as they are otherwise, repeated ones too; null text stays null with no spans, empty text empty. A column of docs
     that is called as spans is replaced. The whole text is scanned, in a narrow pass without a shuffle.
