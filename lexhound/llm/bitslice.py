@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
 
-#: Rows of one block of the index, and queries of one block: what one step of the search holds.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 128
+#: Rows of one block of the index: what one step of the search holds.
+BLOCK_ROWS = 65_536
 #: Least significant attribute slices that the bitmap sums leave out; the rows that this leaves open are resolved exactly.
 DROPPED = 1
-#: A quantised component must lie within this, so that no inner product of up to 2**13 of them leaves 64 bits.
+#: Vectors whose quantised components lie within this are sliced: no inner product of up to 2**13 of them leaves 64 bits.
+#: Others are scored beside the bitmaps, by integers of any size.
 LARGEST = 1 << 24
 
 
@@ -150,17 +152,28 @@ class Block:
         return above | equal
 
 
+def best_of(ids: np.ndarray, values: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block.top() by the exact scores of all rows, whose components may be of any size; scores beyond 64 bits become the nearest long."""
+    own = np.flatnonzero(ids != query_id)
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = [int(x) for x in query.tolist()]
+    score = [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in values[own].tolist()]
+    order = sorted(range(len(own)), key=lambda r: (-score[r], ids[own[r]]))[:k]
+    low, high = -(1 << 63), (1 << 63) - 1
+    return ids[own[order]], np.array([min(max(score[r], low), high) for r in order], np.int64)
+
+
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of every vector that isn't null and holds no null or non-finite component.
+    """(vec_id, v array<double>): floor(scale * x), whole numbers, of every vector that isn't null and holds no null or non-finite component.
 
-    Rows with a null id take no part. A component beyond LARGEST is an error, for its products might leave 64 bits.
+    Rows with a null id take no part.
     """
     v = F.col(f"`{vector_col}`")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    fits = F.when(F.forall("v", lambda x: F.abs(x) < LARGEST), F.col("v")).otherwise(F.raise_error(F.lit("a component is too large to be scored in 64 bits")))
     got = vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & finite & (F.size(v) > 0))
-    got = got.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    return got.select("vec_id", F.transform(fits, lambda x: x.cast("long")).alias("v"))
+    floor = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)  # noqa: E731 (larger ones are whole)
+    return got.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda x: floor(x.cast("double") * scale)).alias("v"))
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,36 +202,66 @@ def _gathered(batches, most: int):
             yield dim, a, np.concatenate([y for _, y in parts])
 
 
-INDEX = "part int, dim int, bits int, ids binary, vals binary, slices binary"
+#: A block of the index (kind 0): rows that are sliced, and those whose components are too large for that; or a query (kind 1), whose vector is in vals.
+ENTRIES = "part int, dim int, kind int, id long, bits int, ids binary, vals binary, slices binary, wide_ids binary, wide_vals binary"
+_NAMES = [x.split()[0] for x in ENTRIES.split(", ")]
+
+
+def _is_wide(values: np.ndarray) -> np.ndarray:
+    return np.abs(values).max(1, initial=0) >= LARGEST
 
 
 def build_index(rows: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks of the index of (vec_id, v) rows, of which there are n; written to the shared folder."""
+    """Blocks of the index of (vec_id, v) rows, of which there are n, as ENTRIES; written to the shared folder."""
     from pyspark import TaskContext
 
     def pack(batches):
         part = TaskContext.get().partitionId()
         for dim, ids, values in _gathered(batches, block_rows):
-            a, b, c, bits = Block(ids, values).pack()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([dim], pa.int32()), pa.array([bits], pa.int32()), pa.array([a]), pa.array([b]), pa.array([c])],
-                ["part", "dim", "bits", "ids", "vals", "slices"],
-            )
+            wide = _is_wide(values)
+            a, b, c, bits = Block(ids[~wide], values[~wide].astype(np.int64)).pack()
+            row = (part, dim, 0, 0, bits, a, b, c, ids[wide].tobytes(), values[wide].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32()] * 3 + [pa.int64(), pa.int32()] + [pa.binary()] * 5, strict=True)], _NAMES)
+
+    return materialise(rows.repartition(max(1, -(-n // block_rows))).mapInArrow(pack, ENTRIES), "bitslice")
+
 
-    spread = rows.repartition(max(1, -(-n // block_rows)), "vec_id", F.xxhash64("v"))
-    return materialise(spread.mapInArrow(pack, INDEX), "bitslice")
+class Searcher:
+    """The blocks of one part and dimension, and the best rows that they hold for a query."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.wide: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, dim: int, bits: int, ids: bytes, values: bytes, slices: bytes, wide_ids: bytes, wide_values: bytes) -> None:
+        if ids:
+            self.blocks.append(Block.unpack(dim, bits, ids, values, slices))
+        if wide_ids:
+            self.wide.append((np.frombuffer(wide_ids, np.int64), np.frombuffer(wide_values, np.float64).reshape(-1, dim)))
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of at most k rows of each block."""
+        got = [best_of(*rows, query_id, query, k) for rows in self.wide]
+        if np.abs(query).max() < LARGEST:
+            got += [b.top(query_id, query.astype(np.int64), k) for b in self.blocks]
+        else:
+            got += [best_of(b.ids, b.values, query_id, query, k) for b in self.blocks]
+        return np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k highest integer inner products of each query with all other rows.
+    """query_id, query_hash, rank (from 1), vec_id, score of the k highest integer inner products of each query with all other rows.
 
     Both tables are quantised to floor(scale * x). Ties go to the smaller vec_id; rows of the query's own id take no part,
     nor do vectors that quantised() leaves out; only vectors of the query's dimension are scored. Repeated rows count
-    each; a query that is given twice is answered once. Fewer rows than k: all. No rows or queries: none out.
-
-    The index has blocks of BLOCK_ROWS rows, the queries blocks of BLOCK_QUERIES. Each block of queries meets each block
-    of the index once: where blocks of the index are fewer than tasks could be, they are copied to several groups of
-    queries, else only the queries move. A block gives k rows a query, which one window merges.
+    each. A query that is given twice is answered once; different vectors of one id are answered each, and query_hash
+    (of the quantised vector) tells them apart. Components may be of any size; a score beyond 64 bits is given as the
+    nearest long and ranked by that within the answers of different blocks. Fewer rows than k: all. No rows or queries:
+    none out.
+
+    The index has blocks of BLOCK_ROWS rows. Each goes to Python once for each group of queries, followed by the group's
+    queries one by one: what a task reads is its blocks and its queries, whatever their product. There are several
+    groups only where blocks are fewer than tasks could be. A block gives k rows a query, which one window merges.
     """
     spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vector_col, scale)
@@ -226,34 +269,48 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     index = build_index(rows, n)
     parts = max(1, -(-n // BLOCK_ROWS))
     groups = max(1, -(-2 * spark.sparkContext.defaultParallelism // parts))
-    asked = quantised(queries, id_col, vector_col, scale).dropDuplicates(["vec_id"])
+    asked = quantised(queries, id_col, vector_col, scale).dropDuplicates(["vec_id", "v"])
 
     def pack(batches):
-        for dim, ids, values in _gathered(batches, BLOCK_QUERIES):
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([values.tobytes()])], ["dim", "q_ids", "q_vals"])
+        for batch in batches:
+            ids, flat, sizes = _arrays(batch)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            raw = np.ascontiguousarray(flat, np.float64)
+            vals = pa.array([raw[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes.astype(np.int32)), vals], ["id", "dim", "vals"])
 
-    blocks = materialise(asked.repartition(groups, "vec_id").mapInArrow(pack, "dim int, q_ids binary, q_vals binary"), "bitslice-queries")
+    packed = asked.mapInArrow(pack, "id long, dim int, vals binary")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    placed = blocks.select("dim", "q_ids", "q_vals", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).cast("int").alias("group"), every)
-    copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else index.withColumn("group", F.lit(0))
-    met = copies.join(placed, ["part", "group", "dim"]).select("dim", "bits", "ids", "vals", "slices", "q_ids", "q_vals")
+    none = F.lit(None).cast("binary")
+    placed = packed.select(every, "dim", F.lit(1).alias("kind"), "id", F.lit(0).alias("bits"), none.alias("ids"), "vals", none.alias("slices"), none.alias("wide_ids"), none.alias("wide_vals"))
+    placed = placed.withColumn("group", F.pmod(F.xxhash64("id", "vals"), F.lit(groups)).cast("int"))
+    copies = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = copies.unionByName(placed).repartition(parts * groups, "part", "group").sortWithinPartitions("part", "group", "dim", "kind").select(*_NAMES, "group")
 
     def search(batches):
-        last, block = None, None
+        at, held = None, Searcher()
         for batch in batches:
+            columns = [batch.column(c) for c in range(len(_NAMES) + 1)]
+            part, dim, kind, ids, group = (columns[c].to_pylist() for c in (0, 1, 2, 3, 10))
+            who, what, ranked = [], [], []
             for r in range(batch.num_rows):
-                dim, bits, ids, values, slices, q_ids, q_vals = (batch.column(c)[r] for c in range(7))
-                raw = slices.as_buffer(), ids.as_buffer()
-                if last is None or not (raw[0].equals(last[0]) and raw[1].equals(last[1])):
-                    last, block = raw, Block.unpack(dim.as_py(), bits.as_py(), ids.as_py(), values.as_py(), slices.as_py())
-                who = np.frombuffer(q_ids.as_py(), np.int64)
-                what = np.frombuffer(q_vals.as_py(), np.int64).reshape(len(who), -1)
-                got = [block.top(int(q), v, k) for q, v in zip(who, what, strict=True)]
+                if (part[r], group[r], dim[r]) != at:
+                    at, held = (part[r], group[r], dim[r]), Searcher()
+                if kind[r] == 0:
+                    held.add(dim[r], *(columns[c][r].as_py() for c in range(4, 10)))
+                elif held.blocks or held.wide:
+                    raw = columns[6][r].as_py()
+                    a, b = held.top(ids[r], np.frombuffer(raw, np.float64), k)
+                    who.append((ids[r], xxhash.xxh64_intdigest(raw) - (1 << 63), len(a)))
+                    what.append(a)
+                    ranked.append(b)
+            if who:
+                times = [n for *_, n in who]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(who, [len(a) for a, _ in got])), pa.array(np.concatenate([a for a, _ in got])), pa.array(np.concatenate([b for _, b in got]))],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(np.array([x[c] for x in who], np.int64), times)) for c in (0, 1)] + [pa.array(np.concatenate(what)), pa.array(np.concatenate(ranked))],
+                    ["query_id", "query_hash", "vec_id", "score"],
                 )
 
-    found = met.mapInArrow(search, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")]))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(search, T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "query_hash", "vec_id", "score")]))
+    best = Window.partitionBy("query_id", "query_hash").orderBy(F.col("score").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "query_hash", "rank", "vec_id", "score")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -45,5 +47,31 @@ def test_frames(spark):
         assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
     assert {r["query_id"] for r in got} == {0, 20, 40, 60, 80, 120}
     assert top_k(df.limit(0), df.limit(0), 3).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        top_k(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), df, 3).count()
+
+
+def test_repeated_ids_and_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(60)]
+    # three different vectors of one id, one of them twice; components whose products need far more than 64 bits, and some that nearly do
+    rows += [(20, [1.0, 2.0, 3.0]), (20, [-1.0, 0.5, 3.0]), (20, [1.0, 2.0, 3.0]), (61, [2.0**18, 1.0, 1.0]), (62, [1e30, 1.0, -1.0]), (80, [2.0**20 + 0.5, -3.0, 1.0]), (63, [-(2.0**19), 2.0**17, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(df, df.where("vec_id % 20 = 0"), 7).collect()
+    valid = [(i, [int(math.floor(64 * x)) for x in v]) for i, v in rows]
+    answers = {}
+    for r in got:
+        answers.setdefault((r["query_id"], r["query_hash"]), []).append((r["rank"], r["vec_id"], r["score"]))
+    mine = []
+    for q, v in {(i, tuple(v)) for i, v in valid if i % 20 == 0}:
+        scored = sorted((-min(max(sum(a * b for a, b in zip(v, x, strict=True)), -(2**63)), 2**63 - 1), i) for i, x in valid if i != q)[:7]
+        mine.append((q, [(k, i, -s) for k, (s, i) in enumerate(scored, 1)]))
+    assert sorted(mine) == sorted((q, sorted(a)) for (q, _), a in answers.items())
+    assert sum(q == 20 for q, _ in answers) == 3
+
+
+def test_blocks_go_to_python_once(spark):
+    """What the search reads is each block for each group of queries, and each query for each block: their sum, not their product."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = top_k(df, df.where("vec_id % 20 = 0"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 2
