@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII blanks; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,48 +35,78 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders of the tables that this process has written and not removed.
-_written: list[str] = []
+#: The scratch that tables go to in this context (a thread, say), if any.
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Owns the tables that materialise() writes while it is entered, in this context alone; remove() deletes them.
+
+    Tables that no scratch owns, or that aren't removed, are deleted when the driver's JVM ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._token = _scratch.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self._token)
+
+    def remove(self, but: DataFrame | None = None) -> None:
+        """Deletes the tables but for those that a table reads."""
+        stays = {_bare(f.rsplit("/", 1)[0]) for f in but.inputFiles()} if but is not None else set()
+        left = []
+        for path in self.paths:
+            if _bare(path) in stays:
+                left.append(path)
+            else:
+                _delete(self.spark, path)
+        self.paths = left
+
+
+def _bare(path: str) -> str:
+    return path.split(":", 1)[-1].lstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, folder = _files(spark, path)
+    files.delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: computed once, its lineage cut, safe from lost executors.
 
-    Each call writes to a path of its own. delete_table() removes it once nothing reads it any more, delete_since() all
-    that have been written since some point.
+    Each call writes to a path of its own, which the Scratch of this context owns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (own := _scratch.get()) is not None:
+        own.paths.append(path)
+    files, folder = _files(spark, path)
+    files.deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_table(df: DataFrame) -> None:
     """Removes the files of a table that materialise() wrote."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def written() -> int:
-    """A point in time for delete_since()."""
-    return len(_written)
-
-
-def delete_since(spark: SparkSession, point: int, but: DataFrame) -> None:
-    """Removes the tables that materialise() has written since written() gave point, except the one that but reads."""
-    stays = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in but.inputFiles()}
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written[point:]:
-        if path.split(":", 1)[-1].lstrip("/") not in stays:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
-            _written.remove(path)
+    if found := df.inputFiles():
+        _delete(df.sparkSession, found[0].rsplit("/", 1)[0])
+
+
+def row_hash(df: DataFrame, *only: str):
+    """A hash of whole rows, nulls told from what isn't there; of columns that hold maps, which have no hash, nothing counts."""
+    hashed = [c for c in only or df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    return F.xxhash64(*(x for c in hashed for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, row_hash
 
 #: Virtual time 1, at which every source has given its target, is cut into so many ranges.
 TIME_RANGES = 65536
@@ -69,9 +69,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: in
 def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() takes it; those that it doesn't take are gone.
 
-    The columns are those of docs. Rows that are alike in id and text stand for each other: their copies come together.
+    The columns are those of docs. Rows that are alike in all columns stand for each other: their copies come together.
     """
-    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    row = row_hash(docs).alias("row")
     got = mix_sizes(materialise(_sizes(docs, text_col, id_col, source_col, row), "mix-sizes"), weights, max_epochs, hash_digits)
     copies = got.where("taken > 0").groupBy("doc_id", "row").agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias("copies"))
     names = docs.columns
@@ -83,7 +83,7 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits:
 
 
 def mix_sizes(base: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3) -> DataFrame:
-    """mix() for rows (doc_id, source, size, h); further columns are kept."""
+    """mix() for rows (doc_id, source, size, h); further columns are kept, and row, if there, orders what is alike otherwise."""
     part = F.substring("h", 1, hash_digits)
     keep = [c for c in base.columns if c != "h"]
     base = base.withColumn("part", part).withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
@@ -94,7 +94,7 @@ def mix_sizes(base: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digi
     targets = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
     # one row per source and range of hashes: it shuffles on the keys of the window below
     starts = starts.join(targets, "source_key")
-    within = Window.partitionBy("source_key", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_key", "part").orderBy("h", "doc_id", "size", *(["row"] if "row" in keep else [])).rowsBetween(Window.unboundedPreceding, 0)
     ranked = base.withColumn("cum", F.sum("size").over(within)).join(starts, ["source_key", "part"])
     ranked = ranked.select(*keep, "h", "source_size", "source_rank", "target", (F.col("cum") + F.col("start")).alias("cum"))
     ranked = materialise(ranked, "mix-ranked")

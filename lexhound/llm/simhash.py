@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise, segment_sums, text_buffers
+from .common import chunks, materialise, row_hash, segment_sums, text_buffers
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -155,12 +155,12 @@ def _labels(marked: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row left of each component: that with the smallest id, nulls last, and of such rows any one.
+    """docs with one row left of each component: that with the smallest id, nulls last, and of such rows that with the smallest hash of all columns.
 
     The columns are those of docs. Null and empty texts, and all without a word, are near duplicates of each other.
     """
     names = docs.columns
-    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    row = row_hash(docs).alias("row")
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row)
     marked = materialise(fingerprints(own, ["doc_id", "row"]), "simhash")
     whole = marked.join(_labels(marked).select("fp", "component"), "fp")

@@ -72,3 +72,16 @@ def test_edges(spark):
     same = spark.createDataFrame([(1, "a b", "s")] * 4 + [(None, "c", "s")], schema)
     assert sorted(r["taken"] for r in mix(same).collect()) == [1, 2, 2, 2, 2]
     assert mixed(same).count() == 5
+
+
+def test_rows_alike_but_for_the_source_or_another_column(spark):
+    rows = [(k, "w " * 5, s, x) for k in range(12) for s, x in (("x", "a"), ("y", "b"))]
+    rows += [(100, "w " * 5, "x", "c"), (100, "w " * 5, "x", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["taken"] // r["size"]
+    for r in mixed(df).collect():
+        got[r["doc_id"], r["source"]] += 1
+        assert (r["doc_id"], r["text"], r["source"], r["lang"]) in rows
+    assert {k: n for k, n in want.items() if n} == dict(got)

@@ -82,3 +82,65 @@ def test_ranges_are_those_of_all_rows(spark):
     for f, value in ((1, np.log(0.02 + 45)), (7, np.log(0.02 + 3.5))):
         split = forest.value[forest.feature == f]
         assert split.max() > value and split.max() <= high[f]
+
+
+def test_path_lengths_against_brute_force():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 3))
+    x[:, 2] = 1.0  # one feature that never splits
+    forest = grow(x, x.min(0), x.max(0), trees=20, sample=64, depth_limit=6)
+    probe = np.vstack([x[:60], rng.normal(size=(40, 3)) * 4])
+
+    def path(node, row):
+        if forest.feature[node] < 0:
+            return forest.depth[node]
+        assert forest.feature[node] < 2
+        return path(forest.left[node] + int(row[forest.feature[node]] >= forest.value[node]), row)
+
+    def leaves(node, splits):
+        if forest.feature[node] < 0:
+            yield splits, forest.depth[node]
+        else:
+            yield from leaves(forest.left[node], splits + 1)
+            yield from leaves(forest.left[node] + 1, splits + 1)
+
+    want = [2 ** (-np.mean([path(r, row) for r in forest.roots]) / forest.norm) for row in probe]
+    assert np.allclose(anomaly(forest, probe), want)
+    for root in forest.roots:
+        found = list(leaves(root, 0))
+        # a leaf stands for its splits and, cut off at the limit, for the mean path of the rows that are left
+        assert all(depth == splits or splits == 6 and depth > splits for splits, depth in found) and max(s for s, _ in found) <= 6
+    # of rows in a box, those that few splits isolate have short paths: the tree of one split of [0, 1] isolates the far row
+    alone = grow(np.array([[0.0], [0.01], [0.02], [1.0]]), np.zeros(1), np.ones(1), trees=200, sample=4)
+    score = anomaly(alone, np.array([[0.0], [0.01], [1.0]]))
+    assert score[2] > score[0] and score[2] > score[1]
+
+
+def test_thresholds_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(1, 12)
+        score = np.array([rng.choice([0.1, 0.2, 0.3, 0.4, 0.5]) for _ in range(n)])
+        good = np.array([rng.random() < 0.6 for _ in range(n)])
+        share = rng.choice([0.0, 0.2, 0.5])
+        best = 0.0  # what a cut catches of the bad less what it loses of the good
+        if good.any() and not good.all():
+            for cut in sorted(set(score)):
+                caught, lost = (score >= cut)[~good].mean(), (score >= cut)[good].mean()
+                if lost <= share:
+                    best = max(best, caught - lost)
+        t = calibrate(score, good, share)
+        gone = score > t
+        got = gone[~good].mean() - gone[good].mean() if good.any() and not good.all() else 0.0
+        assert np.isclose(got, best) and (not good.any() or gone[good].mean() <= share)
+
+
+def test_held_out_labels(spark):
+    """Half of the labels set the threshold, the others judge it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    stats = rule_stats(docs, ["doc_id"]).cache()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    got = judge(stats, fit(stats, labels.where(half))).where("NOT base_failed").join(labels.where(~half & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")), "doc_id")
+    r = got.agg(*(F.avg(F.when(F.col("q") == q, (~F.col("kept")).cast("double"))).alias(f"gone{q}") for q in (0, 1))).first()
+    print("held out: caught of the bad", r["gone0"], "lost of the good", r["gone1"])
+    assert r["gone0"] > 0.7 and r["gone1"] < 0.02
