@@ -110,6 +110,13 @@ class LosslessIndex(Index):
             got._compact = document_words(named, strict_offsets=strict_offsets).select("word", "doc_id", "positions")
         return got
 
+    @classmethod
+    def of_compact(cls, compact: DataFrame, config: IndexConfig = IndexConfig(), vocabulary: DataFrame | None = None) -> LosslessIndex:  # noqa: B008
+        """Of (word, doc_id, positions), one row for each word of a document, which what needs no places reads as they are."""
+        got = cls(compact.select("word", "doc_id", F.explode("positions").alias("start")), config, vocabulary)
+        got._compact = compact.select("word", "doc_id", "positions")
+        return got
+
     def postings(self) -> DataFrame:
         return self._postings
 
@@ -132,13 +139,14 @@ class LosslessIndex(Index):
         return self.repeated_postings().select("word", "doc_id").distinct()
 
     def document_rows(self) -> DataFrame:
-        return self.repeated_postings().select("word", "doc_id")
+        return (self._compact if self._compact is not None else self.repeated_postings()).select("word", "doc_id")
 
     def words(self) -> DataFrame:
-        return self._vocabulary.select("word") if self._vocabulary is not None else self.repeated_postings().select("word").distinct()
+        return self._vocabulary.select("word") if self._vocabulary is not None else self.document_rows().select("word").distinct()
 
     def documents_with_word(self, word: str) -> DataFrame:
-        return self.repeated_postings().where(F.col("word") == normalize_word(word)).select("doc_id").distinct()
+        found = self.document_rows().where(F.col("word") == normalize_word(word)).select("doc_id")
+        return found if self._compact is not None else found.distinct()
 
     def occurrences(self, proximates: DataFrame | None, word: str) -> DataFrame:
         return _rated(self._postings, proximates, word)
@@ -175,7 +183,11 @@ class LosslessIndex(Index):
 
 
 class SimpleIndex(Index):
-    """The documents of every word: postings(word, doc_id), distinct. Places come from reading the documents again."""
+    """The documents of every word: postings(word, doc_id), distinct. Places come from reading the documents again.
+
+    documents(doc_id, text): the text of each document as it is now, one for each id. What is added later replaces the text
+    of the same id, while the postings of the earlier one stay until apply_missing() or upsert().
+    """
 
     def __init__(self, postings: DataFrame, config: IndexConfig | None = None, documents: DataFrame | None = None):
         self.config, self._postings, self._documents = config or IndexConfig.simple_default(), postings.select("word", "doc_id"), documents
@@ -187,8 +199,8 @@ class SimpleIndex(Index):
         return cls(found.distinct() if has_repeated_ids(named) else found, config, named)
 
     def with_documents(self, docs: DataFrame) -> SimpleIndex:
-        """The texts (doc_id, text) to read again; documents without one have no occurrences."""
-        return SimpleIndex(self._postings, self.config, docs)
+        """With texts (doc_id, text) to read again, in place of earlier ones of their ids; documents without one have no occurrences."""
+        return SimpleIndex(self._postings, self.config, _replaced(self._documents, docs))
 
     def document_postings(self) -> DataFrame:
         return self._postings
@@ -205,8 +217,8 @@ class SimpleIndex(Index):
         return _rated(tokenize(docs).select("word", "doc_id", "start").distinct(), proximates, word)
 
     def merge(self, other: SimpleIndex) -> SimpleIndex:
-        docs = self._documents if other._documents is None else other._documents if self._documents is None else self._documents.unionByName(other._documents).distinct()
-        return SimpleIndex(self._postings.unionByName(other._postings).distinct(), self.config, docs)
+        """Both indices' postings; of a document whose text both know, that of other counts."""
+        return SimpleIndex(self._postings.unionByName(other._postings).distinct(), self.config, _replaced(self._documents, other._documents))
 
     def insert_word(self, word: str, doc_id: int) -> SimpleIndex:
         row = self._postings.sparkSession.createDataFrame([(normalize_word(word), doc_id)], "word string, doc_id long")
@@ -215,6 +227,10 @@ class SimpleIndex(Index):
     def insert(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> SimpleIndex:
         return self.merge(SimpleIndex.build(docs, self.config, text_col, id_col))
 
+    def upsert(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> SimpleIndex:
+        """Puts documents' words in place of those of earlier versions."""
+        return self.remove(docs.select(F.col(id_col).alias("doc_id"))).insert(docs, text_col, id_col)
+
     def remove(self, ids: DataFrame | int) -> SimpleIndex:
         return SimpleIndex(remove_documents(self._postings, ids), self.config, self._documents)
 
@@ -236,6 +252,13 @@ class SimpleIndex(Index):
         return words.agg(F.coalesce(F.sum(F.octet_length("word") + 16 + 8 * F.col("n") + 16), F.lit(0)).cast("long").alias("bytes"))
 
 
+def _replaced(old: DataFrame | None, new: DataFrame | None) -> DataFrame | None:
+    """Texts (doc_id, text) of old and new; of an id in both, that of new. The ids of new alone are matched, not texts."""
+    if old is None or new is None:
+        return old if new is None else new.select("doc_id", "text")
+    return old.select("doc_id", "text").join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.select("doc_id", "text"))
+
+
 def has_repeated_ids(docs: DataFrame) -> bool:
     """Whether a doc_id of docs is given twice; reads that column alone."""
     return not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()

@@ -4,9 +4,41 @@ from __future__ import annotations
 
 from . import queries as q
 from .functions.similarity import Algorithm
-from .plans.parser import parse
 from .plans.query_tree import And, Not, Or, Word
 
+_the, _of, _thing, _ering, _thble, _thering, _erther, _nicht = map(Word, ("the", "of", "thing", "ering", "thble", "thering", "erther", "nicht"))
+#: The queries' trees, written by hand: what the parser makes of their strings isn't taken for granted here.
+TREES = {
+    "the ering of": And(And(_the, _ering), _of),
+    "thering or nicht or (ering and thble)": Or(Or(_thering, _nicht), And(_ering, _thble)),
+    "the -ering": And(_the, Not(_ering)),
+    "the -(thing or ering)": And(_the, Not(Or(_thing, _ering))),
+    "thering erther or nicht": Or(And(_thering, _erther), _nicht),
+    "the": _the,
+    "ering": _ering,
+    "the of": And(_the, _of),
+    "the and of": And(_the, _of),
+    "the of thing": And(And(_the, _of), _thing),
+    "thing or ering": Or(_thing, _ering),
+    "ering -thing": And(_ering, Not(_thing)),
+    "(the or thing) and (of or ering) not thble": And(And(Or(_the, _thing), Or(_of, _ering)), Not(_thble)),
+    "thering erther": And(_thering, _erther),
+    "thering or erther -ering": Or(_thering, And(_erther, Not(_ering))),
+}
+#: What query strings are read as, likewise.
+PARSED = {
+    "icelk kvarn": "(icelk AND kvarn)", "icelk kvarn web server": "(((icelk AND kvarn) AND web) AND server)", "not icelk": "(NOT icelk)", "or": "or", "for me": "(for AND me)", " (  ) ": "InputEmpty",
+    "icelk and kvarn or agde": "((icelk AND kvarn) OR agde)", "agde or icelk and kvarn": "(agde OR (icelk AND kvarn))", "(icelk or kvarn) and code": "((icelk OR kvarn) AND code)", "code (kvarn or icelk) ": "(code AND (kvarn OR icelk))",
+    " (icelk or iselk)  (kvarn or agde)))": "((icelk OR iselk) AND (kvarn OR agde))", "icelk -(agde or kvarn)": "(icelk AND (NOT (agde OR kvarn)))", "icelk - (agde or kvarn)": "(icelk AND (NOT (agde OR kvarn)))", "not ": "NotEnoughArguments",
+    "or icelk": "(or AND icelk)", "(or (icelk))": "(or AND icelk)", "icelk and not kvarn or agde": "((icelk AND (NOT kvarn)) OR agde)", "icelk or not kvarn or agde": "((icelk OR (NOT kvarn)) OR agde)",
+    "agde not sync or icelk and not kvarn or agde": "(((agde AND (NOT sync)) OR (icelk AND (NOT kvarn))) OR agde)", "icelk !kvarn": "(icelk AND (NOT kvarn))", "icelk.dev": "icelkdev", "next-generation kvarn": "((next AND generation) AND kvarn)",
+    "river": "river", "river bank": "(river AND bank)", "river and bank": "(river AND bank)", "river or bank": "(river OR bank)", "not river": "(NOT river)", "river -bank": "(river AND (NOT bank))", "river not bank": "(river AND (NOT bank))",
+    "!river": "(NOT river)", "a b c": "((a AND b) AND c)", "a or b c": "(a OR (b AND c))", "a b or c": "((a AND b) OR c)", "(a or b) c": "((a OR b) AND c)", "a (b or c) d": "((a AND (b OR c)) AND d)",
+    "a and b or c and d": "((a AND b) OR (c AND d))", "a -(b or c)": "(a AND (NOT (b OR c)))", "a not b not c": "((a AND (NOT b)) AND (NOT c))", "((a))": "a", "(a b": "(a AND b)", "a) b": "(a AND b)", "a(b)c": "((a AND b) AND c)",
+    "ab.cd": "abcd", "semi-colon": "(semi AND colon)", "-": "NotEnoughArguments", "": "InputEmpty", "   ": "InputEmpty", "and": "and", "a and": "(a AND and)", "or b": "(or AND b)", "not": "not", "a or not b": "(a OR (NOT b))",
+    "Ä und Ö": "((ä AND und) AND ö)", "A AND b": "(a AND b)", "android orbit notable": "((android AND orbit) AND notable)", "()": "InputEmpty", "- a": "(NOT a)", "a - b": "(a AND (NOT b))", "a  and  b": "(a AND b)", "a,b": "ab",
+}
+
 
 def tokens(table: str, name: str, id_sql: str = "doc_id") -> str:
     """CTEs that end in name(doc_id, word, start, is_compound)."""
@@ -76,7 +108,7 @@ def _docs_sql(node, exact: bool, strict: bool) -> str:
 
 
 def documents_sql(text: str, config, strict: bool) -> str:
-    tree = parse(text)
+    tree = TREES[text]
     exact = config.algorithm is Algorithm.EXACT
     ctes = TOK if exact else f"{TOK},\n{proximates(config, tree.words())}"
     return f"WITH {ctes}\nSELECT doc_id FROM {_docs_sql(tree, exact, strict)}"
@@ -173,7 +205,7 @@ _HITS_OUT = "doc_id, start, word_id, rating, array_to_string(list_transform(occ,
 
 
 def hits_sql(text: str, config, distance: int | None = q.DISTANCE, k: int | None = None) -> str:
-    tree = parse(text)
+    tree = TREES[text]
     exact = config.algorithm is Algorithm.EXACT
     h = _Hits(exact, distance)
     last = h.rated(h.build(tree))
@@ -185,6 +217,10 @@ def hits_sql(text: str, config, distance: int | None = q.DISTANCE, k: int | None
 _POSTINGS = "(SELECT DISTINCT word, doc_id, start FROM tok)"
 _SIMPLE = "(SELECT DISTINCT word, doc_id FROM tok)"
 W, V = q.WORD, q.OTHER
+_LOOKED_UP = "VALUES " + ", ".join(f"({d}::BIGINT)" for d in q.LOOKED_UP)
+_NAMED = "named AS (SELECT 'doc ' || doc_id AS name, doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL))"
+#: tok(...) of documents where those with a benchmark item's id have its text.
+_NOW = "current_texts AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark),\n" + tokens("current_texts", "tok")
 _HAS = "(SELECT DISTINCT doc_id FROM tok WHERE word = '{}')"
 
 ORACLES = {
@@ -200,7 +236,22 @@ ORACLES = {
     "index_size": f"""WITH {TOK}, per AS (SELECT word, doc_id, count(*) AS n FROM {_POSTINGS} GROUP BY word, doc_id),
 words AS (SELECT word, strlen(word) + 16 AS own, sum(8 + 8 * n + 16) AS lossless, 8 * count(*) + 16 AS simple FROM per GROUP BY word)
 SELECT 'lossless' AS kind, sum(own + lossless)::BIGINT AS bytes FROM words UNION ALL SELECT 'simple', sum(own + simple)::BIGINT FROM words""",
-    "contains_word": f"WITH {TOK} SELECT doc_id, doc_id IN {_HAS.format(V)} AS has_word FROM documents",
+    "contains_word": f"WITH {TOK} SELECT w AS word, d AS doc_id, EXISTS (SELECT 1 FROM tok WHERE tok.word = w AND tok.doc_id = d) AS found FROM (VALUES ('{W}'), ('{V}')) a(w), ({_LOOKED_UP}) b(d)",
+    "simple_upsert": hits_sql(V, q.EXACT, None).replace(TOK, _NOW, 1),
+    "simple_insert_missing": f"WITH {TOK}, {BENCH} SELECT word, doc_id FROM tok WHERE doc_id IN (SELECT item_id FROM benchmark) EXCEPT SELECT word, doc_id FROM bench",
+    "force_remove": f"""WITH {TOK}, {_NAMED}, gone AS (SELECT d FROM ({_LOOKED_UP}) b(d) WHERE d IN (SELECT doc_id FROM named)),
+places AS (SELECT doc_id, count(*) AS places FROM {_POSTINGS} WHERE doc_id NOT IN (SELECT d FROM gone) GROUP BY doc_id)
+SELECT name, doc_id, places FROM (SELECT * FROM named WHERE doc_id NOT IN (SELECT d FROM gone)) FULL JOIN places USING (doc_id)""",
+    "document_map_reads": f"""WITH {_NAMED}, asked(d) AS ({_LOOKED_UP})
+SELECT 'contains' AS read, d::VARCHAR AS of, (d IN (SELECT doc_id FROM named))::VARCHAR AS found FROM asked
+UNION ALL SELECT 'name', d::VARCHAR, name FROM asked LEFT JOIN named ON d = doc_id UNION ALL SELECT 'id', 'doc ' || d, doc_id::VARCHAR FROM asked LEFT JOIN named ON name = 'doc ' || d
+UNION ALL SELECT 'first free', '', CASE WHEN (SELECT count(*) FROM named) = 0 THEN 0 ELSE (SELECT min(i) FROM (SELECT unnest(range(1, (SELECT max(doc_id) FROM named) + 2)) AS i) WHERE i NOT IN (SELECT doc_id FROM named)) END::VARCHAR""",
+    "streaming_index": f"""WITH {TOK}, {BENCH}, toxic AS (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), now AS (
+SELECT word, doc_id, start FROM tok WHERE doc_id NOT IN (SELECT item_id FROM benchmark) AND doc_id NOT IN (SELECT * FROM toxic)
+UNION SELECT word, doc_id, start FROM bench WHERE doc_id NOT IN (SELECT * FROM toxic)) SELECT doc_id, count(*) AS places FROM now GROUP BY doc_id""",
+    "parse": "SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(x.replace("'", "''") for x in kv) + "')" for kv in PARSED.items()) + ") v(query, tree)",
+    "deduplicate": f"WITH {TOK} SELECT DISTINCT word, doc_id FROM tok",
+    "word_by_document": f"WITH {TOK} SELECT doc_id, doc_id IN {_HAS.format(V)} AS has_word FROM documents",
     "docs_with_word": f"WITH {TOK} SELECT doc_id FROM {_HAS.format(W)}",
     "insert_documents": f"""WITH {TOK}, {TURNS}, now AS (SELECT word, doc_id::VARCHAR AS doc_id, start FROM tok UNION SELECT word, doc_id, start FROM turns)
 SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS places FROM now GROUP BY word""",
@@ -212,7 +263,7 @@ UNION SELECT word, doc_id, start FROM bench) SELECT doc_id, count(*) AS places F
     "missing_postings": f"WITH {TOK}, {BENCH} SELECT word, doc_id FROM tok WHERE doc_id IN (SELECT item_id FROM benchmark) EXCEPT SELECT word, doc_id FROM bench",
     "apply_missing": f"""WITH {TOK}, {BENCH}, kept AS (SELECT word, doc_id FROM tok WHERE doc_id NOT IN (SELECT item_id FROM benchmark)
 UNION (SELECT word, doc_id FROM tok INTERSECT SELECT word, doc_id FROM bench)) SELECT doc_id, count(*) AS words FROM kept GROUP BY doc_id""",
-    "document_map": """WITH named AS (SELECT 'doc ' || doc_id AS name, doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL)),
+    "document_map": f"""WITH {_NAMED},
 fresh AS (SELECT name, row_number() OVER (ORDER BY name) AS n FROM (SELECT DISTINCT url AS name FROM pages WHERE url IS NOT NULL AND url NOT IN (SELECT name FROM named))),
 free AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT unnest(range(1, (SELECT max(doc_id) FROM named) + 1 + (SELECT count(*) FROM fresh))) AS i) WHERE i NOT IN (SELECT doc_id FROM named))
 SELECT name, doc_id FROM named UNION ALL SELECT name, i FROM fresh JOIN free USING (n)""",

@@ -23,9 +23,11 @@ class Part:
 
     def walk(self) -> Iterator[Part]:
         """This node and all below, in order."""
-        yield self
-        for c in self.children():
-            yield from c.walk()
+        todo: list[Part] = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.children())
 
     def for_each(self, visit: Callable[[Part], None]) -> None:
         for p in self.walk():
@@ -42,6 +44,21 @@ class Part:
     def equal_in_order(self, other: Part) -> bool:
         return repr(self) == repr(other)
 
+    def __repr__(self) -> str:
+        out: list[str] = []
+        todo: list[Part | str] = [self]  # trees may be deep: no recursion
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif isinstance(x, Word):
+                out.append(x.text)
+            elif isinstance(x, Not):
+                todo += [")", x.part, "(NOT "]
+            else:
+                todo += [")", x.right, f" {type(x).__name__.upper()} ", x.left, "("]
+        return "".join(out)
+
     def __str__(self) -> str:
         return repr(self)
 
@@ -50,9 +67,6 @@ class Part:
 class Word(Part):
     text: str
 
-    def __repr__(self) -> str:
-        return self.text
-
 
 @dataclass(frozen=True, repr=False)
 class Not(Part):
@@ -61,9 +75,6 @@ class Not(Part):
     def children(self):
         return (self.part,)
 
-    def __repr__(self) -> str:
-        return f"(NOT {self.part!r})"
-
 
 @dataclass(frozen=True, repr=False, eq=False)
 class _Pair(Part):
@@ -84,13 +95,11 @@ class _Pair(Part):
 
 
 class And(_Pair):
-    def __repr__(self) -> str:
-        return f"({self.left!r} AND {self.right!r})"
+    pass
 
 
 class Or(_Pair):
-    def __repr__(self) -> str:
-        return f"({self.left!r} OR {self.right!r})"
+    pass
 
 
 def part(x: Part | str) -> Part:

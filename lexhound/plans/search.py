@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .query_tree import And, Not, Or, Part, Word, part
 
 #: Leaves whose marks fit into one number.
 _BITS = 62
+#: Words and operators of queries for hits.
+MOST_PARTS = 400
 
 
 class StrayNotError(ValueError):
@@ -26,6 +29,13 @@ class StrayNotError(ValueError):
         super().__init__(f"{at} must be combined with something by AND")
 
 
+class TooManyParts(ValueError):
+    """A query whose hits would take too many joins, one for each operator."""
+
+    def __init__(self):
+        super().__init__(f"hits are of queries of at most {MOST_PARTS} words and operators")
+
+
 def _sides(node: And) -> tuple[Part, Part | None]:
     """What an AND keeps, and what it negates, if it does."""
     if isinstance(node.right, Not):
@@ -79,19 +89,42 @@ def _condition(node: Part, leaves: list[str], strict_not: bool) -> Callable[[Cal
         leaves.append(node.text)
         return lambda mark: mark(node.text)
     if isinstance(node, Or):
-        a, b = (_condition(x, leaves, strict_not) for x in (node.left, node.right))
-        return lambda mark: a(mark) | b(mark)
+        any_of = [_condition(x, leaves, strict_not) for x in _chain(node, Or)]
+        return lambda mark: _balanced(or_, [a(mark) for a in any_of])
     if isinstance(node, And):
-        kept, negated = _sides(node)
-        if negated is None:
-            a, b = (_condition(x, leaves, strict_not) for x in (node.left, node.right))
-            return lambda mark: a(mark) & b(mark)
-        a = _condition(kept, leaves, strict_not)
-        b = _condition(negated, leaves if strict_not else [], strict_not)  # read in any case: what is wrong in it counts
-        return (lambda mark: a(mark) & ~b(mark)) if strict_not else a
+        every, none = [], []
+        for x in _chain(node, And):
+            if isinstance(x, Not):  # read in any case: what is wrong in it counts
+                none.append(_condition(x.part, leaves if strict_not else [], strict_not))
+            else:
+                every.append(_condition(x, leaves, strict_not))
+        none = none if strict_not else []
+        return lambda mark: _balanced(and_, [a(mark) for a in every] + [~a(mark) for a in none])
     raise StrayNotError(node)
 
 
+def _chain(node: Part, kind: type) -> list[Part]:
+    """What one operator joins, from left to right, however many. Of an AND of two NOTs, none is one side of it."""
+    out: list[Part] = []
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, kind):
+            if kind is And and isinstance(x.left, Not) and isinstance(x.right, Not):
+                raise StrayNotError(x.left)
+            todo += [x.right, x.left]
+        else:
+            out.append(x)
+    return out
+
+
+def _balanced(join: Callable[[Column, Column], Column], parts: list[Column]) -> Column:
+    """All parts joined in a tree of little depth, as expressions are read by recursion."""
+    while len(parts) > 1:
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 @dataclass(frozen=True)
 class Query:
     """A boolean query."""
@@ -130,6 +163,10 @@ class Query:
         places_of = occurrences or index.occurrences
         expansion = None if exact else proximates if proximates is not None else self.proximates(index)
         number = 0
+        # where an AND leaves few documents, places elsewhere needn't be sorted
+        matched = Documents(self, index, expansion).table() if occurrences is None and any(isinstance(p, And) and _sides(p)[1] is None for p in self.root.walk()) else None
+        if sum(1 for _ in self.root.walk()) > MOST_PARTS:
+            raise TooManyParts
 
         def plan(node: Part) -> DataFrame:
             nonlocal number
@@ -137,7 +174,9 @@ class Query:
                 number += 1
                 if not node.text:
                     return index.document_postings().sparkSession.createDataFrame([], HITS)
-                return leaf_hits(places_of(expansion, node.text), number, distance_threshold)
+                found = places_of(expansion, node.text)
+                found = found if matched is None else found.join(matched, "doc_id", "left_semi")
+                return leaf_hits(found, number, distance_threshold)
             if isinstance(node, Or):
                 left = plan(node.left)
                 return or_hits(left, plan(node.right))

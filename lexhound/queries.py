@@ -14,8 +14,10 @@ from .operators.expand import proximate_documents
 from .operators.hits import leaf_hits, rate, top_hits
 from .operators.index import IndexConfig, LosslessIndex, SimpleIndex
 from .operators.tokenize import raw_tokens, tokenize
+from .plans.parser import ParseError
 from .plans.search import Query
 from .sources.documents import DocumentMap, read_index, read_table, shared_folder, with_doc_id, write_index
+from .streaming.incremental import StreamingIndex
 
 EXACT = IndexConfig(threshold=1.0, algorithm=Algorithm.EXACT, word_count_limit=100)
 HAMMING = IndexConfig()
@@ -23,6 +25,15 @@ JARO = IndexConfig(threshold=0.9, algorithm=Algorithm.JARO)
 #: What the queries below look for.
 WORD, OTHER, PREFIX, FUZZY, DISTANCE = "the", "ering", "than", "thering", 100
 EXPANDED = ("thering", "nicht", "of", "ertheding")
+#: Documents that single lookups ask for.
+LOOKED_UP = (0, 1, 2, 5, 10**12)
+#: What q_parse() reads.
+PARSED = (
+    "icelk kvarn", "icelk kvarn web server", "not icelk", "or", "for me", " (  ) ", "icelk and kvarn or agde", "agde or icelk and kvarn", "(icelk or kvarn) and code", "code (kvarn or icelk) ",
+    " (icelk or iselk)  (kvarn or agde)))", "icelk -(agde or kvarn)", "icelk - (agde or kvarn)", "not ", "or icelk", "(or (icelk))", "icelk and not kvarn or agde", "icelk or not kvarn or agde",
+    "agde not sync or icelk and not kvarn or agde", "icelk !kvarn", "icelk.dev", "next-generation kvarn", "river", "river bank", "river and bank", "river or bank", "not river", "river -bank", "river not bank", "!river", "a b c", "a or b c", "a b or c", "(a or b) c", "a (b or c) d", "a and b or c and d", "a -(b or c)",
+    "a not b not c", "((a))", "(a b", "a) b", "a(b)c", "ab.cd", "semi-colon", "-", "", "   ", "and", "a and", "or b", "not", "a or not b", "Ä und Ö", "A AND b", "android orbit notable", "()", "- a", "a - b", "a  and  b", "a,b",
+)
 
 _built: dict[tuple[str, str], str] = {}
 
@@ -94,6 +105,13 @@ def q_index_size(spark, folder):
 
 
 def q_contains_word(spark, folder):
+    """Single lookups: whether documents hold a word."""
+    own = index(spark, folder)
+    return spark.createDataFrame([(w, d, own.contains_word(w, d)) for w in (WORD, OTHER) for d in LOOKED_UP], "word string, doc_id long, found boolean")
+
+
+def q_word_by_document(spark, folder):
+    """Whether each document holds a word."""
     found = index(spark, folder).documents_with_word(OTHER).withColumn("has_word", F.lit(True))
     return documents(spark, folder).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("has_word", F.lit(False)).alias("has_word"))
 
@@ -141,10 +159,67 @@ def q_apply_missing(spark, folder):
     return index(spark, folder).to_simple().with_documents(items).apply_missing().document_postings().groupBy("doc_id").agg(F.count("*").alias("words"))
 
 
+def q_simple_upsert(spark, folder):
+    """The index without places: documents that have a benchmark item's id take its text, others' places are read again."""
+    items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    own = index(spark, folder, EXACT).to_simple().with_documents(documents(spark, folder)).upsert(items)
+    return _hits(rate(leaf_hits(own.occurrences(None, OTHER), 1, None)))
+
+
+def q_simple_insert_missing(spark, folder):
+    """As above, but inserted: what the earlier texts held and the new ones don't is stale."""
+    items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return index(spark, folder, EXACT).to_simple().with_documents(documents(spark, folder)).insert(items).missing()
+
+
+def q_force_remove(spark, folder):
+    """Names and places of labelled documents once one of them is gone from map and index."""
+    known, own = DocumentMap(_labelled(spark, folder)), index(spark, folder)
+    for doc_id in (*LOOKED_UP, -1):
+        known, own = known.force_remove(doc_id, own)
+    places = own.postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+    return known.table.join(places, "doc_id", "full").select("name", "doc_id", "places")
+
+
+def q_document_map_reads(spark, folder):
+    """Single lookups in the map of labelled documents, and its first free id."""
+    known = DocumentMap(_labelled(spark, folder))
+    rows = [("contains", str(d), str(known.contains(d)).lower()) for d in LOOKED_UP]
+    rows += [("name", str(d), known.get_name(d)) for d in LOOKED_UP]
+    rows += [("id", f"doc {d}", None if (got := known.get_id(f"doc {d}")) is None else str(got)) for d in LOOKED_UP]
+    return spark.createDataFrame([*rows, ("first free", "", str(known.first_free()))], "read string, of string, found string")
+
+
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "labels").where("doc_id IS NOT NULL").select("doc_id").distinct().select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "doc_id")
+
+
+def q_streaming_index(spark, folder):
+    """Two micro-batches: all documents; then benchmark texts under the same ids, in several versions, and removals of toxic documents."""
+    stream = StreamingIndex(spark, shared_folder(spark), order="version")
+    items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    toxic = read_table(spark, folder, "labels").where("toxic = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(3).alias("version"))
+    stream.apply(documents(spark, folder).withColumn("version", F.lit(0)), 0)
+    versions = items.withColumn("version", F.lit(2)).unionByName(items.select("doc_id", F.lit("zzz an earlier text").alias("text"), F.lit(1).alias("version")))
+    stream.apply(versions.unionByName(toxic), 1)
+    return stream.index().postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+
+
+def q_parse(spark, folder):
+    """Trees of query strings, or the names of their errors."""
+
+    def tree(text):
+        try:
+            return str(Query.parse(text))
+        except ParseError as e:
+            return type(e).__name__
+
+    return spark.createDataFrame([(t, tree(t)) for t in PARSED], "query string, tree string")
+
+
 def q_document_map(spark, folder):
     """Ids for pages by their urls, into a map in which every labelled document has a name: pages take the ids between those."""
-    named = read_table(spark, folder, "labels").where("doc_id IS NOT NULL").select("doc_id").distinct().select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "doc_id")
-    return DocumentMap(named).reserve(read_table(spark, folder, "pages").select(F.col("url").alias("name")).where("name IS NOT NULL")).table
+    return DocumentMap(_labelled(spark, folder)).reserve(read_table(spark, folder, "pages").select(F.col("url").alias("name")).where("name IS NOT NULL")).table
 
 
 def q_expand_exact(spark, folder):
@@ -195,6 +270,11 @@ def q_docs_difference(spark, folder):
     return sets.difference(own.documents_with_word(WORD), own.documents_with_word(OTHER))
 
 
+def q_deduplicate(spark, folder):
+    """One row of each word and document of the index's places."""
+    return sets.deduplicate(index(spark, folder).postings().select("word", "doc_id"))
+
+
 def q_deduplicate_keeping(spark, folder):
     """Of each word of the index the place that is latest in the lowest document."""
     return sets.deduplicate_keeping(index(spark, folder).postings(), ["word"], F.struct(-F.col("doc_id"), "start"))
@@ -249,7 +329,7 @@ HIT_QUERIES = {
     "hits_and_not": ("ering -thing", EXACT),
     "hits_nested": ("(the or thing) and (of or ering) not thble", EXACT),
     "hits_fuzzy": ("thering erther", HAMMING),
-    "rating_final": ("the and of", EXACT),
+    "rating_final": ("the of thing", EXACT),
 }
 
 QUERIES = {

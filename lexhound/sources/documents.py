@@ -26,28 +26,42 @@ def with_doc_id(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, within spark.checkpoint.dir; a local one only in local mode where that is unset."""
+    """A new folder that all executors share, within spark.checkpoint.dir; a local one only in local mode where that is unset.
+
+    It is removed when the driver's JVM ends.
+    """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/lexhound-index"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_index(index: LosslessIndex | SimpleIndex, path: str, ranges: int | None = None) -> None:
-    """Postings and vocabulary as Parquet, postings in order of word and document, so that a lookup reads few row groups.
+    """Postings and vocabulary as Parquet, in order of word and document, so that a lookup reads few row groups.
 
-    Ranges are over word and document, so those of a word that most documents hold are in many files. Where postings may be
-    repeated, equal ones meet in one range and are reduced to one: the index takes one shuffle.
+    A row is a word of a document; places are an array of it. Rows are first written as they come, for what finds the
+    bounds of ranges would else read and tokenize all texts once more. Ranges are over word and document, so the rows of
+    a word that most documents hold are in many files.
     """
     lossless = isinstance(index, LosslessIndex)
-    postings = index.repeated_postings() if lossless else index.document_postings()
-    keys = ["word", "doc_id", "start"] if lossless else ["word", "doc_id"]
-    ranged = postings.repartitionByRange(*keys[:2]) if ranges is None else postings.repartitionByRange(ranges, *keys[:2])
-    ranged = ranged.dropDuplicates(keys) if lossless and index.may_repeat() else ranged
+    postings = index.compact() if lossless else index.document_postings()
+    spark, keys = postings.sparkSession, ["word", "doc_id"]
+    postings.write.mode("overwrite").parquet(f"{path}/unsorted")
+    postings = spark.read.schema(postings.schema).parquet(f"{path}/unsorted")
+    ranged = postings.repartitionByRange(*keys) if ranges is None else postings.repartitionByRange(ranges, *keys)
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/postings")
-    spark = postings.sparkSession
+    delete_folder(spark, f"{path}/unsorted")
     words = spark.read.parquet(f"{path}/postings").select("word").distinct()
     words.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
     config = asdict(index.config) | {"algorithm": index.config.algorithm.value, "lossless": lossless}
@@ -61,7 +75,7 @@ def read_index(spark: SparkSession, path: str) -> LosslessIndex | SimpleIndex:
     own = IndexConfig(**config | {"algorithm": Algorithm(config["algorithm"])})
     postings = spark.read.parquet(f"{path}/postings")
     if lossless:
-        return LosslessIndex(postings, own, spark.read.parquet(f"{path}/vocabulary"))
+        return LosslessIndex.of_compact(postings, own, spark.read.parquet(f"{path}/vocabulary"))
     return SimpleIndex(postings, own)
 
 

@@ -18,14 +18,20 @@ class StreamingIndex:
     Each micro-batch writes the words of its documents to a folder of its own, and marks the documents that it replaces or
     removes; both folders are named by the batch, so a batch that is run again after a failure replaces what it had
     written. A document's words are those of the last batch that named it. compact() folds all batches into one elsewhere.
+
+    order: a column of the stream (a time, a version) by which the last of several rows for a document within a batch
+    counts, be it a text or a removal; of rows alike in it, the greatest text. Without one, a removal in the batch counts
+    before any text, and of texts the greatest.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: IndexConfig = IndexConfig()):  # noqa: B008
-        self.spark, self.path, self.config = spark, path, config
+    def __init__(self, spark: SparkSession, path: str, config: IndexConfig = IndexConfig(), order: str | None = None):  # noqa: B008
+        self.spark, self.path, self.config, self.order = spark, path, config, order
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Documents (doc_id, text); a null text removes the document. Of several texts for one in a batch the greatest counts."""
-        docs = batch.select("doc_id", "text").groupBy("doc_id").agg(F.max("text").alias("text"))
+        """Documents (doc_id, text); a null text removes the document."""
+        order = F.col(self.order) if self.order else F.col("text").isNull()
+        last = F.max_by(F.struct("text"), F.struct(order, "text"))
+        docs = batch.groupBy("doc_id").agg(last.alias("last")).select("doc_id", "last.text")
         self._write(self.path, tokenize(docs).select("word", "doc_id", "start"), docs.select("doc_id"), batch_id)
 
     @staticmethod
@@ -37,7 +43,7 @@ class StreamingIndex:
         """What the index holds now, as one batch before all others in a folder of its own, where streams can go on."""
         postings = self.index().postings()
         self._write(path, postings, postings.select("doc_id").distinct(), -1)
-        return StreamingIndex(self.spark, path, self.config)
+        return StreamingIndex(self.spark, path, self.config, self.order)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

@@ -104,3 +104,14 @@ def test_any_text_parses_or_fails_cleanly(text):
         assert parse(text).words()
     except ParseError:
         pass
+
+
+def test_depth():
+    from lexhound.plans.parser import DEEPEST, TooDeep
+
+    assert str(parse("(" * DEEPEST + "a" + ")" * DEEPEST)) == "a"
+    with pytest.raises(TooDeep):
+        parse("(" * 3000 + "a")
+    for text, joined in ((" ".join(["a"] * 3000), " AND "), (" or ".join(["a"] * 3000), " OR ")):
+        tree = parse(text)
+        assert str(tree).count(joined) == 2999 and tree.words() == ["a"] * 3000

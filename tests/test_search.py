@@ -8,7 +8,7 @@ from lexhound.functions.similarity import Algorithm
 from lexhound.operators import sets
 from lexhound.operators.hits import HITS, and_hits, and_not_hits, leaf_hits, or_hits, rate
 from lexhound.operators.index import Index, IndexConfig, LosslessIndex, SimpleIndex
-from lexhound.plans.search import Query, StrayNotError
+from lexhound.plans.search import Query, StrayNotError, TooManyParts
 
 EXACT = IndexConfig(1.0, Algorithm.EXACT, 100)
 
@@ -206,3 +206,15 @@ def test_many_leaves_and_none(spark):
     empty = LosslessIndex.build(docs(spark).limit(0) if False else spark.createDataFrame([], "doc_id long, text string"), EXACT)
     assert Query.parse("a or b").hits(empty).count() == 0 and Query.parse("a").documents(empty).table().count() == 0
     assert leaf_hits(empty.occurrences(None, "a"), 1, 5).count() == 0
+
+
+def test_queries_of_very_many_words(spark):
+    index = LosslessIndex.build(spark.createDataFrame([(k, f"w{k} w{k + 1} all") for k in range(5)], "doc_id long, text string"), IndexConfig(1.0, Algorithm.EXACT, 100))
+    found = lambda text, **how: sorted(r[0] for r in Query.parse(text).documents(index).table(**how).collect())
+    many = [f"x{k}" for k in range(300)]
+    assert found(" or ".join([*many, "w3"])) == [2, 3] and found(" ".join([*many, "w3"])) == []
+    assert found("all " + " ".join(f"-{w}" for w in [*many, "w3"]), strict_not=True) == [0, 1, 4]
+    with pytest.raises(TooManyParts):
+        Query.parse(" ".join(many)).hits(index)
+    with pytest.raises(StrayNotError):
+        Query.parse("-a -b").documents(index).table()

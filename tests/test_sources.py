@@ -71,3 +71,47 @@ def test_streaming(spark, tmp_path):
     other.apply(spark.createDataFrame([(2, None)], schema), 0)
     assert other.index().postings().where("doc_id = 2").isEmpty()
     assert [r["doc_id"] for r in Query.parse("words -other").documents(stream.index()).table(strict_not=True).collect()] == [1]
+
+
+def test_streaming_order(spark, tmp_path):
+    schema = "doc_id long, text string, at int"
+    stream = StreamingIndex(spark, str(tmp_path / "index"), order="at")
+    stream.apply(spark.createDataFrame([(1, "zebra first", 1), (1, "apple later", 2), (2, "kept", 3), (2, None, 2), (3, "text", 1), (3, None, 2), (4, "same b", 1), (4, "same a", 1)], schema), 0)
+    assert sorted((r["doc_id"], r["word"]) for r in stream.index().postings().collect()) == [(1, "apple"), (1, "later"), (2, "kept"), (4, "b"), (4, "same")]
+    # without an order a removal counts before any text
+    plain = StreamingIndex(spark, str(tmp_path / "plain"))
+    plain.apply(spark.createDataFrame([(1, "text"), (1, None), (2, "a"), (2, "b")], "doc_id long, text string"), 0)
+    assert [(r["doc_id"], r["word"]) for r in plain.index().postings().collect()] == [(2, "b")]
+
+
+def test_texts_of_the_index_without_places_are_replaced(spark):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    config = IndexConfig(1.0, Algorithm.EXACT, 100)
+    old = SimpleIndex.build(docs((0, "old words"), (1, "other words")), config)
+    found = lambda index, word: sorted(r["doc_id"] for r in index.occurrences(None, word).collect())
+    for new in (old.insert(docs((0, "new words"))), old.merge(SimpleIndex.build(docs((0, "new words")), config)), old.with_documents(docs((0, "new words")))):
+        assert found(new, "old") == [] and found(new, "words") == [0, 1]
+        assert [tuple(r) for r in new.missing().select("word", "doc_id").collect()] == [("old", 0)]
+        assert sorted(r["word"] for r in new.apply_missing().document_postings().where("doc_id = 0").collect()) in (["new", "words"], ["words"])
+    new = old.upsert(docs((0, "new words")))
+    assert found(new, "new") == [0] and found(new, "old") == [] and new.missing().isEmpty()
+    assert old.documents_with_word("old").count() == 1
+
+
+def test_an_index_is_written_with_one_pass_over_texts(spark, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(k, f"word{k} and more") for k in range(500)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string").repartition(3)
+    from lexhound.operators.tokenize import document_words
+
+    index = LosslessIndex.of_compact(document_words(docs).select("word", "doc_id", "positions"))
+    write_index(index, str(tmp_path / "i"))
+    assert counted.value == 500
+    got = read_index(spark, str(tmp_path / "i"))
+    assert got.postings().count() == 1500 and got.documents_with_word("and").count() == 500
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["config", "postings", "vocabulary"]
