@@ -11,7 +11,7 @@ from lexhound.llm.line_dedup import Closeness
 from tests.llm.test_lang_id import WORDS
 from tests.llm.test_line_dedup import BLANK, brute, edited
 from tests.llm.test_mixing import brute as brute_mix
-from tests.llm.test_simhash import brute_fingerprint, brute_links
+from tests.llm.test_simhash import brute_drop
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -47,8 +47,8 @@ def test_against_brute_force(spark, tmp_path):
             after.append((d, "\n".join(left), *rest))
     assert len(after) < len(kept)
     # near duplicates
-    least = brute_links({d: brute_fingerprint(t) for d, t, *_ in after})
-    single = [r for r in after if least[r[0]][1] == r[0]]
+    stay = brute_drop([r[:2] for r in after])
+    single = [r for r in after if r[0] in stay]
     assert len(single) < len(after)
     # the mix
     sizes, _, _, taken = brute_mix([(d, t, s) for d, t, _, s in single])
