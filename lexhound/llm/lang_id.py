@@ -15,6 +15,8 @@ from .common import chunks, segment_sums, text_buffers
 ORDER = 3
 #: Documents per language from which the statistics are counted (bounded in expectation by hash sampling).
 TRAIN_DOCS_PER_LANGUAGE = 600
+#: Code lengths of a model, which each Python worker holds, take at most so many bytes; with more languages rare contexts go.
+MODEL_BYTES = 1 << 28
 #: A score is the posterior that evidence of at most so many bytes gives.
 EVIDENCE_BYTES = 64
 #: A text is in none of the languages if it takes more than so many times what this share of labelled texts of its language
@@ -81,8 +83,27 @@ def fit(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -
     return build(count_grams(picked).toPandas())
 
 
-def build(grams) -> Model:
-    """A model from a pandas frame (lang, gram, n)."""
+def _within(contexts: list[tuple[np.ndarray, np.ndarray]], node_bytes: int, most_bytes: int) -> list[np.ndarray]:
+    """The contexts of each length, with counts, that become nodes: all, but of the longest those met twice.
+
+    While they take more than most_bytes, the count that the longest need is doubled, then that of the next shorter ones;
+    a context whose last symbols are no node isn't either. Those of one symbol, 256 at most, always stay.
+    """
+    least = [1.0] * (len(contexts) - 1) + [2.0]
+
+    def kept(depth):
+        u, n = contexts[depth]
+        return u[n >= least[depth]]
+
+    for depth in range(len(contexts) - 1, 0, -1):
+        top = max(contexts[depth][1], default=0.0)
+        while least[depth] <= top and sum(len(kept(k)) for k in range(len(contexts))) * node_bytes > most_bytes:
+            least[depth] *= 2
+    return [kept(depth) for depth in range(len(contexts))]
+
+
+def build(grams, most_bytes: int = MODEL_BYTES) -> Model:
+    """A model from a pandas frame (lang, gram, n), whose code lengths take at most most_bytes or so."""
     languages = sorted(grams["lang"].unique())
     gram, n = grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64)
     lang = np.searchsorted(np.array(languages, dtype=object), grams["lang"].to_numpy(object)) if languages else np.zeros(0, int)
@@ -96,12 +117,11 @@ def build(grams) -> Model:
     for depth in range(1, ORDER + 1):
         ctx[depth] = sum(parts[ORDER - 1 - k] * s_count**k for k in range(depth))
     # Nodes: every context of up to three symbols that some language has met (twice, if it is three long).
-    nodes, known = [np.zeros(1, np.int64)], {}
+    met_contexts = []
     for depth in range(1, ORDER + 1):
         u, inverse = np.unique(ctx[depth], return_inverse=True)
-        if depth == ORDER and len(u):
-            u = u[np.bincount(inverse, weights=n) >= 2]
-        nodes.append(u)
+        met_contexts.append((u, np.bincount(inverse, weights=n) if len(u) else np.zeros(0)))
+    nodes = [np.zeros(1, np.int64), *_within(met_contexts, s_count * max(1, len(languages)) * 4, most_bytes)]
     base = np.cumsum([0, *map(len, nodes)])
     bits = np.zeros((base[-1], s_count, max(1, len(languages))), np.float32)
     unseen = max(1, 256 - len(met))
@@ -184,7 +204,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     The language with the shortest code wins, ties go to the first by name. score is the posterior, all languages alike
     before, from the mean evidence of at most EVIDENCE_BYTES bytes. Null, empty or letterless text: und, 0, null.
-    The model goes to the executors once; its size is bounded by the training sample.
+    The model goes to the executors once; its size is bounded by MODEL_BYTES.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

@@ -46,7 +46,7 @@ def _sizes(docs: DataFrame, text_col: str, id_col: str, source_col: str, *more)
         doc_id.alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("h"),
+        F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("?"), F.col(f"`{text_col}`").cast("string")), F.lit(""))).alias("h"),
         *more,
     )
 
@@ -54,7 +54,7 @@ def _sizes(docs: DataFrame, text_col: str, id_col: str, source_col: str, *more)
 def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, hash_digits: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document: a row (doc_id, source, size, source_size, target, taken) for each of docs.
 
-    A source's documents are shuffled by the MD5 of their id; copy e of a document ends, in its source's virtual time, at
+    A source's documents are shuffled by the MD5 of their id (of the text, where that is null); copy e of a document ends, in its source's virtual time, at
     (e * source size + cumulative size) / target. All copies are put in order of that time and those taken whose sizes
     add up to at most the sum of all sizes. A hot source is cut into 16**hash_digits ranges of the hash, whose sums give
     each range its start, so no task holds a source; likewise the global order is cut into ranges of virtual time.

@@ -14,7 +14,7 @@ def op10_mixing(spark, sf_dir):
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '?' || text, '')) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 named AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_rank FROM src),
 weighed AS (SELECT *, ([5, 2, 1])[(source_rank % 3 + 1)::INT]::BIGINT AS w, source_size * 3 AS cap FROM named),

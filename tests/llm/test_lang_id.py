@@ -77,3 +77,16 @@ def test_edges(spark):
     nothing = fit(training_rows(df.limit(0)))
     assert nothing.languages == [] and {r["lang_pred"] for r in predict(df, nothing, ["doc_id"]).collect()} == {"und"}
     assert predict(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_a_model_keeps_within_its_bytes(spark):
+    train, test = corpus(300), corpus(60, 2)
+    grams = count_grams(spark.createDataFrame([(l, t) for _, t, l in train], "lang string, text string")).toPandas()
+    whole = build(grams)
+    data, at = text_buffers(pa.array([t for _, t, _ in test]))
+    for part in (2, 5, 40):
+        model = build(grams, whole.bits.nbytes // part)
+        base = (model.symbols + 1) * model.symbols * 4 * len(model.languages)  # contexts of one symbol at most
+        assert model.bits.nbytes <= max(whole.bits.nbytes // part, base) and len(model.bits) < len(whole.bits)
+        pred = code_lengths(model, data, at).argmin(1)
+        assert sum(model.languages[p] == l for p, (_, _, l) in zip(pred, test, strict=True)) >= 55, part
