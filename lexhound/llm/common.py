@@ -91,9 +91,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if (own := _scratch.get()) is not None:
         own.paths.append(path)
-    files, folder = _files(spark, path)
-    files.deleteOnExit(folder)
     df.write.parquet(path)
+    files, folder = _files(spark, path)
+    files.deleteOnExit(folder)  # which counts for folders that exist
     return spark.read.schema(df.schema).parquet(path)
 
 
