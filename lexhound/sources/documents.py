@@ -38,7 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
         base = f"file://{tempfile.gettempdir()}/lexhound-index"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)  # which counts for folders that exist
     return path
 
 
