@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 #: Pre-tokens outside the vocabulary whose ids one Python worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts above this many characters are split and encoded so many pre-tokens at a time.
 LAZY_CHARS, LAZY_TOKENS = 1 << 20, 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -389,6 +391,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
                 at += len(texts)
                 more = [_bytes_of(ids, upto, table)] if table else []
                 yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(keep))), lists, *more], [f.name for f in schema])
+            release_memory()
 
     got = source.mapInArrow(run, schema)
     more = [F.col("decoded").alias(decoded_into)] if decoded_into else []

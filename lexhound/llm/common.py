@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from contextvars import ContextVar
 
 import numpy as np
@@ -109,6 +111,13 @@ def row_hash(df: DataFrame, *only: str):
     return F.xxhash64(*(x for c in hashed for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
 
 
+def release_memory() -> None:
+    """Gives what a batch's work has freed back to the system: a worker's memory counts beside the JVM's, and workers stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets, without a copy; nulls are empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

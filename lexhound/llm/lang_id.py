@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, segment_sums, text_buffers
+from .common import chunks, release_memory, segment_sums, text_buffers
 
 ORDER = 3
 #: Documents per language from which the statistics are counted (bounded in expectation by hash sampling).
@@ -237,6 +237,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 [*(batch.column(k) for k in range(len(keep))), pa.array(names[pred], pa.string()), pa.array(score), pa.array(per, mask=np.isnan(per))],
                 [f.name for f in fields],
             )
+            release_memory()
 
     got = source.mapInArrow(run, T.StructType(fields))
     return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), *(a for a, _ in SCHEMA_FIELDS))

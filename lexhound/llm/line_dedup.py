@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, chunks, materialise, text_buffers
+from .common import WORD, chunks, materialise, release_memory, text_buffers
 from .components import components
 from .edit_distance import code_points, distances, trim
 
@@ -227,6 +227,7 @@ def _keys(docs: DataFrame, close: Closeness) -> DataFrame:
                     for key, use, *_ in chain(*entries):
                         if len(use):
                             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lines.ids[use].view(np.int64)), pa.array(np.full(len(use), probe))], ["key", "id", "probe"])
+            release_memory()
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, id long, probe boolean")
 
@@ -340,6 +341,7 @@ def line_links(docs: DataFrame, close: Closeness = Closeness(), hot: int = HOT_B
                 near[rest] = [max(map(len, trim(*map(code_points, lines[k])))) <= most for k, most in zip(rest.tolist(), close.stretch(short[rest]).tolist(), strict=True)]
                 near = pa.array(near)
                 yield pa.RecordBatch.from_arrays([rows.column(c).filter(near) for c in range(4)], ["a1", "a2", "b1", "b2"])
+        release_memory()
 
     return materialise(both.mapInArrow(verify, T.StructType([T.StructField(c, T.LongType()) for c in ("a1", "a2", "b1", "b2")])), "lines-links")
 

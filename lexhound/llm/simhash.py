@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise, row_hash, segment_sums, text_buffers
+from .common import chunks, materialise, release_memory, row_hash, segment_sums, text_buffers
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -120,6 +120,7 @@ def signatures(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
             words = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TABLES), pa.array(word_fingerprints_of(data, at).view(np.int64).ravel()))
             raw = pa.array([r.tobytes() for r in sketches], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(fp), words, raw], [f.name for f in schema])
+            release_memory()
 
     return source.mapInArrow(run, schema).select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), "fp", "words", "sketch")
 
@@ -177,13 +178,14 @@ def near_pairs(distinct: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     hot_keys = crowded.select(
         F.explode(F.array(*[F.when(F.col("k") == 0, _key(F.col("s"), 0, b)).otherwise(_key(F.col("s"), 1, b)) for b in range(SEGMENT)])).alias("key")
     ).distinct().withColumn("crowded", F.lit(True))
-    variants = distinct.select("table", "fp", F.explode(F.array(*[_key(_segment(fp, k), k, b) for k in (0, 1) for b in range(SEGMENT)])).alias("key"))
+    # the key holds the table too; both sides of the join have the same columns, so one exchange serves them
+    variants = distinct.select("fp", F.explode(F.array(*[_key(_segment(fp, k), k, b) for k in (0, 1) for b in range(SEGMENT)])).alias("key"))
     n_hot = hot_keys.count()
     if n_hot:
         marked = variants.join(F.broadcast(hot_keys) if n_hot <= 200_000 else hot_keys, "key", "left")
         other = F.when(F.shiftrightunsigned("key", SEGMENT).bitwiseAND(F.lit(63).cast("long")) < SEGMENT, _segment(fp, 1)).otherwise(_segment(fp, 0))
         pieces = F.array(*[F.lit(q << 8).bitwiseOR(F.shiftrightunsigned(other, 8 * q).bitwiseAND(F.lit(255).cast("long")).cast("int")) for q in range(4)])
-        marked = marked.select("table", "fp", "key", F.explode(F.when(F.col("crowded"), pieces).otherwise(F.array(F.lit(-1)))).alias("piece"))
+        marked = marked.select("fp", "key", F.explode(F.when(F.col("crowded"), pieces).otherwise(F.array(F.lit(-1)))).alias("piece"))
     else:
         marked = variants.withColumn("piece", F.lit(-1))
     a, b = marked.alias("a"), marked.alias("b")
@@ -199,9 +201,10 @@ def near_pairs(distinct: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     piece = F.when(equal[0], 0).when(equal[1], 1).when(equal[2], 2).otherwise(3)
     once = (F.col("a.piece") < 0) | (F.shiftright(F.col("a.piece"), 8) == piece)
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.fp") < F.col("b.fp"))
-    near = F.when(F.col("a.table") == 0, F.bit_count(x) <= DISTANCE).otherwise(F.bit_count(rest) <= DISTANCE)
+    table = F.shiftrightunsigned(F.col("a.key"), SEGMENT + 6).cast("int")
+    near = F.when(table == 0, F.bit_count(x) <= DISTANCE).otherwise(F.bit_count(rest) <= DISTANCE)
     pairs = a.join(b, on & near & (at == chosen) & once)
-    return pairs.select("a.table", F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return pairs.select(table.alias("table"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
