@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, release_memory, segment_sums, text_buffers
+from .common import chunks, materialise, release_memory, segment_sums, text_buffers
 
 ORDER = 3
 #: Documents per language from which the statistics are counted (bounded in expectation by hash sampling).
@@ -22,6 +22,8 @@ EVIDENCE_BYTES = 64
 #: A text is in none of the languages if it takes more than so many times what this share of labelled texts of its language
 #: take at most for a byte, and so many bits besides, as short texts tell little.
 BOUND_TIMES, BOUND_SHARE, BOUND_BITS = 2.0, 0.99, 64.0
+#: Bins that a pass for a quantile cuts the range of a language's values into.
+QUANTILE_BINS = 4096
 
 
 @dataclass
@@ -243,19 +245,50 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     return got.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), *(a for a, _ in SCHEMA_FIELDS))
 
 
-def bounds(labelled: DataFrame, model: Model, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> dict[str, float]:
+def bounds(labelled: DataFrame, model: Model) -> dict[str, float]:
     """Bits a byte above which a text isn't in a language, from (key, lang, text) rows that the model hasn't learnt from.
 
-    They are BOUND_TIMES the BOUND_SHARE quantile of the labelled texts that the model finds to be in their language, of
-    each language a sample as in fit(). A language without such rows has no bound.
+    They are BOUND_TIMES the BOUND_SHARE quantile of all labelled texts that the model finds to be in their language. A
+    language without such rows has no bound.
     """
-    per = labelled.groupBy("lang").count().collect()
-    if not per or not model.languages:
+    if not model.languages:
         return {}
-    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for r in per for x in (r["lang"], docs_per_language / r["count"])]), F.col("lang"))
-    got = predict(labelled.where(draw < share), model, ["lang"]).where(F.col("lang") == F.col("lang_pred")).select("lang", "bits_per_byte").toPandas()
-    return {lang: BOUND_TIMES * float(np.quantile(x, BOUND_SHARE)) for lang, x in got.groupby("lang")["bits_per_byte"]}
+    found = predict(labelled, model, ["lang"]).where((F.col("lang") == F.col("lang_pred")) & F.col("bits_per_byte").isNotNull())
+    scored = materialise(found.select("lang", F.col("bits_per_byte").alias("value")), "language-held-out")
+    return {lang: BOUND_TIMES * x for lang, x in quantiles(scored, BOUND_SHARE).items()}
+
+
+def quantiles(scored: DataFrame, share: float, bins: int = QUANTILE_BINS) -> dict[str, float]:
+    """The exact quantile, as numpy interpolates it, of the finite values of each language of (lang, value), of however many rows.
+
+    It lies between two ranks. For each, a range that holds it is cut into bins, and the least and greatest value of the
+    bin it is in are the next range, until they are one value: each pass brings at most two times bins rows a language.
+    """
+    ranges = scored.groupBy("lang").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+    place = {r["lang"]: (r["n"] - 1) * share for r in ranges}
+    open_, found = {}, {}
+    for r in ranges:
+        for rank in {int(place[r["lang"]]), min(int(place[r["lang"]]) + 1, r["n"] - 1)}:
+            open_[r["lang"], rank] = (r["low"], r["high"], 0)  # the range, and how many values are below it
+    while open_:
+        found |= {k: low for k, (low, high, _) in open_.items() if low == high}
+        open_ = {k: x for k, x in open_.items() if x[0] < x[1]}
+        if not open_:
+            break
+        cut = scored.sparkSession.createDataFrame([(lang, rank, low, high) for (lang, rank), (low, high, _) in open_.items()], "lang string, rank long, low double, high double")
+        inside = scored.join(F.broadcast(cut), "lang").where(F.col("value").between(F.col("low"), F.col("high")))
+        # rising with the value, and of low and high never the same
+        at = F.least(F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+        counted = inside.groupBy("lang", "rank", at.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        below, narrower = {k: x[2] for k, x in open_.items()}, {}
+        for r in sorted(counted.collect(), key=lambda r: r["bin"]):
+            key = r["lang"], r["rank"]
+            if key not in narrower:
+                if r["rank"] < below[key] + r["n"]:
+                    narrower[key] = (r["low"], r["high"], below[key])
+                below[key] += r["n"]
+        open_ = narrower
+    return {lang: float(np.quantile([found[lang, int(x)], found.get((lang, int(x) + 1), found[lang, int(x)])], x - int(x))) for lang, x in place.items()}
 
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text", most_bits: dict[str, float] | None = None) -> DataFrame:

@@ -2,9 +2,10 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from lexhound.llm.lang_id import build, code_lengths, count_grams, fit, keep_known, predict
+from lexhound.llm.lang_id import BOUND_SHARE, BOUND_TIMES, bounds, build, code_lengths, count_grams, fit, keep_known, predict, quantiles
 from lexhound.llm.queries_lang_id import training_rows
 from lexhound.llm.common import text_buffers
 import pyarrow as pa
@@ -90,3 +91,22 @@ def test_a_model_keeps_within_its_bytes(spark):
         assert model.bits.nbytes <= max(whole.bits.nbytes // part, base) and len(model.bits) < len(whole.bits)
         pred = code_lengths(model, data, at).argmin(1)
         assert sum(model.languages[p] == l for p, (_, _, l) in zip(pred, test, strict=True)) >= 55, part
+
+
+def test_bounds_come_from_all_held_out_rows(spark):
+    model = fit(spark.createDataFrame([(k, l, t) for k, t, l in corpus(400)], "key long, lang string, text string"))
+    rows = [(k, l, t) for k, t, l in corpus(3000, seed=5)]  # more of each language than a sample would have
+    held_out = spark.createDataFrame([*rows, (None, "en", "the of and"), (9000, "xx", "the of and"), (9001, "en", "12 34")], "key long, lang string, text string")
+    got = predict(held_out, model, ["lang"]).where("lang = lang_pred").toPandas()
+    assert bounds(held_out, model) == {lang: BOUND_TIMES * float(np.quantile(x, BOUND_SHARE)) for lang, x in got.groupby("lang")["bits_per_byte"]}
+    assert bounds(held_out.limit(0), model) == {}
+
+
+@pytest.mark.parametrize("bins", [64, 4096])
+def test_quantiles_are_exact(spark, bins):
+    rng = random.Random(3)
+    values = {"one": [2.5], "two": [1.0, 4.0], "same": [3.0] * 50, "ties": [float(rng.randint(0, 5)) for _ in range(400)]}
+    values |= {"skewed": [10.0 ** rng.uniform(-4, 4) for _ in range(700)], "near": [1 + k * 2.0**-52 for k in range(300)], "plain": [rng.gauss(3, 1) for _ in range(501)]}
+    scored = spark.createDataFrame([(lang, x) for lang, own in values.items() for x in own], "lang string, value double")
+    assert quantiles(scored, 0.99, bins) == {lang: float(np.quantile(x, 0.99)) for lang, x in values.items()}
+    assert quantiles(scored.limit(0), 0.5) == {}
