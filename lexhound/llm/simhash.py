@@ -182,13 +182,14 @@ def near_pairs(distinct: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     variants = distinct.select("fp", F.explode(F.array(*[_key(_segment(fp, k), k, b) for k in (0, 1) for b in range(SEGMENT)])).alias("key"))
     n_hot = hot_keys.count()
     if n_hot:
-        marked = variants.join(F.broadcast(hot_keys) if n_hot <= 200_000 else hot_keys, "key", "left")
+        marked = variants.join(F.broadcast(hot_keys) if n_hot <= 200_000 else hot_keys.hint("merge"), "key", "left")
         other = F.when(F.shiftrightunsigned("key", SEGMENT).bitwiseAND(F.lit(63).cast("long")) < SEGMENT, _segment(fp, 1)).otherwise(_segment(fp, 0))
         pieces = F.array(*[F.lit(q << 8).bitwiseOR(F.shiftrightunsigned(other, 8 * q).bitwiseAND(F.lit(255).cast("long")).cast("int")) for q in range(4)])
         marked = marked.select("fp", "key", F.explode(F.when(F.col("crowded"), pieces).otherwise(F.array(F.lit(-1)))).alias("piece"))
     else:
         marked = variants.withColumn("piece", F.lit(-1))
-    a, b = marked.alias("a"), marked.alias("b")
+    # Spark takes an exploded table to be as large as the one before, and would broadcast all variants of a small one
+    a, b = marked.hint("merge").alias("a"), marked.hint("merge").alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     x0, x1 = _segment(x, 0), _segment(x, 1)
     at = F.shiftrightunsigned(F.col("a.key"), SEGMENT).bitwiseAND(F.lit(63).cast("long"))

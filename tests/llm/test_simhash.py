@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexhound.llm.simhash import LEAST_OVERLAP, TABLES, drop_near_duplicates, fingerprints_of, link, near_duplicates, word_fingerprints_of
+from lexhound.llm.simhash import LEAST_OVERLAP, TABLES, drop_near_duplicates, fingerprints_of, link, near_duplicates, near_pairs, word_fingerprints_of
 
 
 def brute_fingerprint(text):
@@ -188,3 +188,12 @@ def test_repeated_rows_and_rows_that_differ_elsewhere(spark):
     rows = [(1, text, "a"), (1, text, "b"), (1, text, "b"), (2, "another text which stands alone here", "c"), (2, "another text which stands alone here", "c"), (None, text, "d")]
     got = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, other string"))
     assert sorted((r["doc_id"], r["other"] if r["doc_id"] == 2 else "") for r in got.collect()) == [(1, ""), (2, "c")]
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_variants_are_not_broadcast(spark, tmp_path, hot):
+    """64 variants of each fingerprint, whose size Spark underrates by as much, would go through the driver's memory."""
+    spark.range(1000).select((F.col("id") % 500).alias("fp")).distinct().write.parquet(str(tmp_path / "nodes"))
+    plan = near_pairs(spark.read.parquet(str(tmp_path / "nodes")), hot)._jdf.queryExecution().executedPlan().toString()
+    own = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert own.index("SortMergeJoin") < (own.find("BroadcastHashJoin") if "BroadcastHashJoin" in own else len(own))
