@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ SEGMENT = BITS // 2
 HOT_BUCKET = 64
 #: Further fingerprints of a text, of its words; bins of its sketch; and the overlap of shingles that two such texts must have.
 TABLES, BINS, LEAST_OVERLAP = 3, 128, 0.5
+#: Words (192 bytes each, and their text) whose bits a batch keeps from chunk to chunk; beyond it starts anew.
+CACHED_WORDS = 100_000
 #: Rows up to this many (16 MB) are broadcast to be taken out; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -57,9 +59,12 @@ def fingerprints_of(data: np.ndarray, at: np.ndarray, sketches: np.ndarray | Non
             h = np.array(hashes, np.uint64)
             if sketches is not None:
                 place = (np.repeat(np.arange(i, j), sizes) * BINS) + (h >> np.uint64(57)).astype(np.int64)
-                order = np.lexsort((h, place))
-                first = order[np.append(True, place[order[1:]] != place[order[:-1]])]
-                sketches.ravel()[place[first]] = np.maximum(h[first].astype(np.uint16), 1)
+                place -= i * BINS
+                least = np.full((j - i) * BINS, ~np.uint64(0))
+                np.minimum.at(least, place, h)
+                met = np.zeros(len(least), bool)
+                met[place] = True
+                sketches[i:j] = np.where(met, np.maximum(least.astype(np.uint16), 1), 0).reshape(-1, BINS)
             total = np.zeros((j - i, BITS), np.int64)
             for k in range(0, j - i, 256):  # the bits of some texts at a time
                 lo, hi = bounds[k], bounds[min(k + 256, j - i)]
@@ -78,9 +83,12 @@ def word_fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     A replaced word changes these less than the three shingles it is in. Weights are whole numbers, so sums are exact.
     """
     out = np.zeros((len(at) - 1, TABLES), np.uint64)
+    number = defaultdict(count().__next__)
+    known = np.zeros((0, BITS * TABLES), np.uint8)  # bits of the words numbered so far, which later chunks use again
     for i, j in chunks(at, 1 << 19):
+        if len(number) > CACHED_WORDS:
+            number, known = defaultdict(count().__next__), known[:0]
         raw = data[at[i] : at[j]].tobytes().lower()
-        number = defaultdict(count().__next__)
         ids, sizes = [], []
         for a, b in zip((at[i:j] - at[i]).tolist(), (at[i + 1 : j + 1] - at[i]).tolist(), strict=True):
             words = raw[a:b].split()
@@ -88,18 +96,21 @@ def word_fingerprints_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             sizes.append(len(words))
         if not ids:
             continue
+        if len(number) > len(known):
+            fresh = list(islice(number, len(known), None))
+            hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + 1 + t) for t in range(TABLES)] for w in fresh], np.uint64)
+            known = np.concatenate([known, np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")])
         pair, times = np.unique(np.repeat(np.arange(j - i), sizes) * len(number) + np.array(ids, np.int64), return_counts=True)
         doc, word = np.divmod(pair, len(number))
-        weight = np.rint(16 * np.sqrt(times)).astype(np.int64)
-        hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + 1 + t) for t in range(TABLES)] for w in number], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        weight = np.rint(16 * np.sqrt(times))
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
-        total = np.zeros((j - i, BITS * TABLES), np.int64)
-        for lo in range(0, len(pair), 1 << 14):
-            hi = min(lo + (1 << 14), len(pair))
-            d0, d1 = int(doc[lo]), int(doc[hi - 1]) + 1
-            total[d0:d1] += segment_sums(bits[word[lo:hi]] * weight[lo:hi, None].astype(np.int32), np.clip(bounds[d0 : d1 + 1], lo, hi) - lo, np.int64)
-        over = (2 * total > segment_sums(weight, bounds)[:, None]).astype(np.uint8)
+        total = np.zeros((j - i, BITS * TABLES))
+        for d in range(j - i):
+            for lo in range(bounds[d], bounds[d + 1], 1 << 13):  # products of whole numbers below 2**24 are exact
+                hi = min(lo + (1 << 13), bounds[d + 1])
+                kind = np.float32 if weight[lo:hi].sum() < 1 << 24 else np.float64
+                total[d] += weight[lo:hi].astype(kind) @ known[word[lo:hi]].astype(kind)
+        over = (2 * total > segment_sums(weight.astype(np.int64), bounds)[:, None]).astype(np.uint8)
         out[i:j] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)
     return out
 

@@ -197,3 +197,19 @@ def test_variants_are_not_broadcast(spark, tmp_path, hot):
     plan = near_pairs(spark.read.parquet(str(tmp_path / "nodes")), hot)._jdf.queryExecution().executedPlan().toString()
     own = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
     assert own.index("SortMergeJoin") < (own.find("BroadcastHashJoin") if "BroadcastHashJoin" in own else len(own))
+
+
+@pytest.mark.parametrize("cached", [100_000, 50])
+def test_words_are_hashed_once_for_all_chunks(monkeypatch, cached):
+    from lexhound.llm import simhash
+
+    hashed = []
+    monkeypatch.setattr(simhash, "CACHED_WORDS", cached)
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", lambda w, seed, own=xxhash.xxh64_intdigest: hashed.append(w) or own(w, seed))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(60_000)) for _ in range(5)]  # more than a chunk
+    raw = [t.encode() for t in texts]
+    got = word_fingerprints_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert cached == 50 or len(hashed) == TABLES * 300
+    monkeypatch.undo()
+    assert got.tolist() == [brute_word_fingerprints(t) for t in texts]
