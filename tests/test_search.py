@@ -1,12 +1,13 @@
 import random
 from collections import defaultdict
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexhound.functions.similarity import Algorithm
 from lexhound.operators import sets
-from lexhound.operators.hits import HITS, and_hits, and_not_hits, leaf_hits, or_hits, rate
+from lexhound.operators.hits import HITS, and_hits, and_not_hits, leaf_hits, or_hits, rate, top_hits
 from lexhound.operators.index import Index, IndexConfig, LosslessIndex, SimpleIndex
 from lexhound.plans.search import Query, StrayNotError, TooManyParts
 
@@ -181,6 +182,14 @@ def test_final_rating_and_start(spark):
     assert got[2] == (2, 7, 3, 0.0, ((7, 3),), ()) and got[3] == (3, 5, 1, 7.5, ((5, 1), (5, 2), (105, 1)), ())
 
 
+def test_best_hits_by_ratings_that_agree_but_for_their_last_bits(spark):
+    sums = [reduce(lambda acc, d: acc + 0.5 / (0.001 * d + 0.1), ds, 0.0) for ds in ((2, 2, 3), (3, 2, 2))]  # sum() would round only once
+    assert sums[0] < sums[1]
+    hits = [(doc, 0, 1, rating, [(0, 1), (place, 2)], None) for doc, rating, place in ((1, sums[0], 9), (1, sums[1], 8), (2, sums[1], 8), (0, 1.0, 8))]
+    got = top_hits(spark.createDataFrame(hits, HITS), 3).collect()
+    assert [(r["doc_id"], r["occurrences"][1]["start"]) for r in got] == [(1, 8), (1, 9), (2, 8)]
+
+
 def test_a_source_of_ones_own(spark):
     class Doubled(Index):
         config = EXACT
