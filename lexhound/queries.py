@@ -50,7 +50,7 @@ def index(spark: SparkSession, folder: str, config: IndexConfig = HAMMING) -> Lo
         write_index(LosslessIndex.build(documents(spark, folder)), path)
         _built[key] = path
     found = read_index(spark, _built[key])
-    return LosslessIndex(found.postings(), config, found.words())
+    return LosslessIndex.of_compact(found.compact(), config, found.words(), documents(spark, folder).select("doc_id"))
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def q_merge_simple_indexes(spark, folder):
 def q_remove_document(spark, folder):
     """Without the documents that labels call toxic."""
     toxic = read_table(spark, folder, "labels").where("toxic = 1").select("doc_id")
-    return index(spark, folder).remove(toxic).postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+    return index(spark, folder).remove(toxic).places_of_documents()
 
 
 def q_upsert_documents(spark, folder):

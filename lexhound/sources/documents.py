@@ -14,6 +14,10 @@ from ..functions.similarity import Algorithm
 from ..operators.index import IndexConfig, LosslessIndex, SimpleIndex
 
 
+#: Of Parquet files that are sorted, so many make a range: their rows, some 20 times as large in memory, are sorted without a spill.
+RANGE_BYTES = 8 << 20
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; one with fewer splits than there are cores is dealt out to all of them."""
     df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
@@ -49,21 +53,36 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _folder_bytes(spark: SparkSession, path: str) -> int:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def write_sorted(postings: DataFrame, path: str, unsorted: str, ranges: int | None = None) -> None:
+    """Postings as Parquet in order of word and document, by way of a folder of their own that is removed.
+
+    Rows are first written as they come, for what finds the bounds of ranges would else read and tokenize all texts once
+    more; by what they take there, ranges are made so small that none is sorted on disk. Ranges are over word and document,
+    so the rows of a word that most documents hold are in many files.
+    """
+    spark, keys = postings.sparkSession, ["word", "doc_id"]
+    postings.write.mode("overwrite").parquet(unsorted)
+    if ranges is None:
+        ranges = max(spark.sparkContext.defaultParallelism, -(-_folder_bytes(spark, unsorted) // RANGE_BYTES))
+    rows = spark.read.schema(postings.schema).parquet(unsorted)
+    rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    delete_folder(spark, unsorted)
+
+
 def write_index(index: LosslessIndex | SimpleIndex, path: str, ranges: int | None = None) -> None:
     """Postings and vocabulary as Parquet, in order of word and document, so that a lookup reads few row groups.
 
-    A row is a word of a document; places are an array of it. Rows are first written as they come, for what finds the
-    bounds of ranges would else read and tokenize all texts once more. Ranges are over word and document, so the rows of
-    a word that most documents hold are in many files.
+    A row is a word of a document; places are an array of it.
     """
     lossless = isinstance(index, LosslessIndex)
     postings = index.compact() if lossless else index.document_postings()
-    spark, keys = postings.sparkSession, ["word", "doc_id"]
-    postings.write.mode("overwrite").parquet(f"{path}/unsorted")
-    postings = spark.read.schema(postings.schema).parquet(f"{path}/unsorted")
-    ranged = postings.repartitionByRange(*keys) if ranges is None else postings.repartitionByRange(ranges, *keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/postings")
-    delete_folder(spark, f"{path}/unsorted")
+    spark = postings.sparkSession
+    write_sorted(postings, f"{path}/postings", f"{path}/unsorted", ranges)
     words = spark.read.parquet(f"{path}/postings").select("word").distinct()
     words.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/vocabulary")
     config = asdict(index.config) | {"algorithm": index.config.algorithm.value, "lossless": lossless}
