@@ -145,7 +145,7 @@ def q_remove_document(spark, folder):
 def q_upsert_documents(spark, folder):
     """Documents that have a benchmark item's id take its text."""
     items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return index(spark, folder).upsert(items).postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+    return index(spark, folder).upsert(items).places_of_documents()
 
 
 def q_missing_postings(spark, folder):

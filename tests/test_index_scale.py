@@ -38,3 +38,8 @@ def test_remove_moves_no_places(spark, stored):
     got = index.remove(gone)
     assert "SortMergeJoin" not in plan(got.postings())
     assert table(got.postings()) == table(index.postings().where("doc_id % 2 = 1"))
+def test_upsert_moves_no_places_of_other_documents(spark, stored):
+    index, _ = stored
+    got = index.upsert(texts(spark, (3, "new"), (99, "other new")))
+    assert "SortMergeJoin" not in plan(got.postings()) and "HashAggregate(keys=[word" not in plan(got.postings())
+    assert table(got.postings()) == sorted([*table(index.postings().where("doc_id <> 3")), ("new", 3, 0), ("new", 99, 6), ("other", 99, 0)])
