@@ -123,7 +123,7 @@ def q_docs_with_word(spark, folder):
 def q_insert_documents(spark, folder):
     """The index of documents, with conversations' turns added under ids of their own."""
     turns = with_doc_id(read_table(spark, folder, "conversations"), "conv_id", "turn").select("doc_id", "text")
-    return index(spark, folder).insert(turns).postings().groupBy("word").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("places"))
+    return index(spark, folder).insert(turns).compact().groupBy("word").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("places"))
 
 
 def q_merge_indexes(spark, folder):

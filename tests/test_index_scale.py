@@ -43,3 +43,8 @@ def test_upsert_moves_no_places_of_other_documents(spark, stored):
     got = index.upsert(texts(spark, (3, "new"), (99, "other new")))
     assert "SortMergeJoin" not in plan(got.postings()) and "HashAggregate(keys=[word" not in plan(got.postings())
     assert table(got.postings()) == sorted([*table(index.postings().where("doc_id <> 3")), ("new", 3, 0), ("new", 99, 6), ("other", 99, 0)])
+def test_insert_of_other_documents_groups_nothing(spark, stored):
+    index, _ = stored
+    got = index.insert(texts(spark, (98, "new all"), (99, "new")))
+    assert "Aggregate" not in plan(got.postings())
+    assert table(got.postings()) == sorted([*table(index.postings()), ("new", 98, 0), ("all", 98, 4), ("new", 99, 0)])
