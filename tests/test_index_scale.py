@@ -48,3 +48,9 @@ def test_insert_of_other_documents_groups_nothing(spark, stored):
     got = index.insert(texts(spark, (98, "new all"), (99, "new")))
     assert "Aggregate" not in plan(got.postings())
     assert table(got.postings()) == sorted([*table(index.postings()), ("new", 98, 0), ("all", 98, 4), ("new", 99, 0)])
+def test_apply_missing_joins_words_of_known_texts_alone(spark, stored):
+    index, _ = stored
+    got = index.to_simple().with_documents(texts(spark, (3, "all new"), (77, "x"))).apply_missing().document_postings()
+    # the words of known documents are joined by a shuffle of theirs: the scan beside it goes on without an exchange
+    assert plan(got).index("Union") < plan(got).index("SortMergeJoin") and plan(got).count("BroadcastHashJoin [doc_id") >= 2
+    assert table(got) == sorted([*table(index.document_postings().where("doc_id <> 3")), ("all", 3)])
