@@ -54,3 +54,17 @@ def test_apply_missing_joins_words_of_known_texts_alone(spark, stored):
     # the words of known documents are joined by a shuffle of theirs: the scan beside it goes on without an exchange
     assert plan(got).index("Union") < plan(got).index("SortMergeJoin") and plan(got).count("BroadcastHashJoin [doc_id") >= 2
     assert table(got) == sorted([*table(index.document_postings().where("doc_id <> 3")), ("all", 3)])
+def test_size_groups_nothing(spark, stored):
+    index, _ = stored
+    index = LosslessIndex.of_compact(index.compact(), index.config, index.words())
+    want = {w: [len(r["positions"]) for r in rows] for w, rows in _by_word(index).items()}
+    assert "hashpartitioning(word#" not in plan(LosslessIndex.of_compact(index.compact(), index.config, spark.range(1).select(F.lit("a").alias("word"))).size())
+    assert index.size().first()[0] == sum(len(w) + 16 + sum(8 + 8 * n + 16 for n in ns) for w, ns in want.items())
+    assert index.to_simple().size().first()[0] == sum(len(w) + 16 + 8 * len(ns) + 16 for w, ns in want.items())
+
+
+def _by_word(index):
+    found = {}
+    for r in index.compact().collect():
+        found.setdefault(r["word"], []).append(r)
+    return found
