@@ -68,3 +68,13 @@ def _by_word(index):
     for r in index.compact().collect():
         found.setdefault(r["word"], []).append(r)
     return found
+def test_simple_merge_groups_shared_documents_alone(spark, stored):
+    index, docs = stored
+    other = SimpleIndex.build(texts(spark, (3, "all new"), (3, "again all"), (99, "all")))
+    want = sorted({*table(index.document_postings()), ("new", 3), ("again", 3), ("all", 99)})
+    got = index.to_simple().merge(other)
+    assert table(got.document_postings()) == want
+    assert plan(got.document_postings()).count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan(got.document_postings())
+    for _ in range(module.MOST_SPLITS + 1):  # merges one upon the other don't double what is read for ever
+        got = got.merge(other)
+    assert got._splits == module.MOST_SPLITS and table(got.document_postings()) == want
