@@ -78,3 +78,10 @@ def test_simple_merge_groups_shared_documents_alone(spark, stored):
     for _ in range(module.MOST_SPLITS + 1):  # merges one upon the other don't double what is read for ever
         got = got.merge(other)
     assert got._splits == module.MOST_SPLITS and table(got.document_postings()) == want
+def test_merge_groups_shared_documents_alone(spark, stored):
+    index, docs = stored
+    other = LosslessIndex.build(texts(spark, (3, "all new all"), (None, "none"), (99, "all")))
+    got = index.merge(other).merge(other)
+    want = sorted({*table(index.postings()), *table(other.postings())}, key=str)
+    assert sorted(map(tuple, got.postings().collect()), key=str) == want
+    assert "BroadcastHashJoin" in plan(got.postings()) and "SortMergeJoin" not in plan(got.postings())
