@@ -177,7 +177,7 @@ def q_force_remove(spark, folder):
     known, own = DocumentMap(_labelled(spark, folder)), index(spark, folder)
     for doc_id in (*LOOKED_UP, -1):
         known, own = known.force_remove(doc_id, own)
-    places = own.postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+    places = own.places_of_documents()
     return known.table.join(places, "doc_id", "full").select("name", "doc_id", "places")
 
 
@@ -202,7 +202,7 @@ def q_streaming_index(spark, folder):
     stream.apply(documents(spark, folder).withColumn("version", F.lit(0)), 0)
     versions = items.withColumn("version", F.lit(2)).unionByName(items.select("doc_id", F.lit("zzz an earlier text").alias("text"), F.lit(1).alias("version")))
     stream.apply(versions.unionByName(toxic), 1)
-    return stream.index().postings().groupBy("doc_id").agg(F.count("*").alias("places"))
+    return stream.index().places_of_documents()
 
 
 def q_parse(spark, folder):
