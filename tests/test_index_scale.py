@@ -85,3 +85,15 @@ def test_merge_groups_shared_documents_alone(spark, stored):
     want = sorted({*table(index.postings()), *table(other.postings())}, key=str)
     assert sorted(map(tuple, got.postings().collect()), key=str) == want
     assert "BroadcastHashJoin" in plan(got.postings()) and "SortMergeJoin" not in plan(got.postings())
+def test_changed_texts_are_told_before_words_are_joined(spark, stored, monkeypatch):
+    index, docs = stored
+    now = docs.where("doc_id > 4").unionByName(texts(spark, (0, "all w0 all w0"), (1, "all w1 gone w1 w1 new"), (2, ""), (3, "w3 all"), (4, "xall w4 w1")))
+    own = index.to_simple().with_documents(now)
+    want = table(own.missing())
+    assert want == [("all", 2), ("all", 4), ("w0", 3), ("w2", 2)]
+    monkeypatch.setattr(module, "FEW_TEXTS", 3)
+    changed = module._changed(own._rows, now)
+    assert table(changed) == [(1,), (2,), (3,), (4,)] and table(own.missing()) == want
+    for most in (2, 10):  # changed documents joined by a shuffle, and broadcast
+        monkeypatch.setattr(module, "MOST_IDS", most)
+        assert table(own.missing()) == want and table(own.apply_missing().missing()) == []
