@@ -42,18 +42,14 @@ def progressive(left: DataFrame, right: DataFrame, match: str, at: str, order: S
     its start, so the work is proportional to the rows.
     """
     cols = left.columns
-
-    def side(df: DataFrame, is_left: bool) -> DataFrame:
-        own = F.struct(*cols)
-        none = F.lit(None).cast(df.select(own.alias("x")).schema["x"].dataType)
-        return df.select(F.col(match), F.col(at), F.lit(is_left).alias("is_left"), own.alias("own"), (own if is_left else none).alias("l"), (none if is_left else own).alias("r"), F.struct(*order).alias("tie"))
-
-    both = side(left, True).unionByName(side(right.select(*cols), False))
-    side_no = (~F.col("is_left")).cast("int")
-    forward = Window.partitionBy(match).orderBy(at, side_no, "tie").rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(match).orderBy(F.col(at).desc(), side_no.desc(), F.col("tie").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.select(F.lit(True).alias("is_left"), *cols).unionByName(right.select(F.lit(False).alias("is_left"), *cols))
+    # a row is sorted with its columns once, beside what the other table's rows take of it
+    own = F.struct(*cols)
+    both = both.withColumn("l", F.when(F.col("is_left"), own)).withColumn("r", F.when(~F.col("is_left"), own))
+    forward = Window.partitionBy(match).orderBy(F.col(at), F.col("is_left").desc(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(match).orderBy(F.col(at).desc(), "is_left", *(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
 
     def other(window):
         return F.when(F.col("is_left"), F.last("r", ignorenulls=True).over(window)).otherwise(F.last("l", ignorenulls=True).over(window))
 
-    return both.select(match, at, "is_left", "own", other(forward).alias("behind"), other(backward).alias("ahead"))
+    return both.select(match, at, "is_left", F.coalesce("l", "r").alias("own"), other(forward).alias("behind"), other(backward).alias("ahead"))

@@ -174,7 +174,9 @@ class Query:
                 number += 1
                 if not node.text:
                     return index.document_postings().sparkSession.createDataFrame([], HITS)
+                # by document once, for all windows above; so many parts aren't joined to fewer, whose sorts would spill
                 found = places_of(expansion, node.text)
+                found = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
                 found = found if matched is None else found.join(matched, "doc_id", "left_semi")
                 return leaf_hits(found, number, distance_threshold)
             if isinstance(node, Or):

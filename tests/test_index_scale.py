@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexhound.functions.similarity import Algorithm
 from lexhound.operators import index as module
-from lexhound.operators.index import LosslessIndex, SimpleIndex
+from lexhound.operators.index import IndexConfig, LosslessIndex, SimpleIndex
 from lexhound.operators.tokenize import document_words
+from lexhound.plans.search import Query
 
 SCHEMA = "doc_id long, text string"
 
@@ -97,3 +99,9 @@ def test_changed_texts_are_told_before_words_are_joined(spark, stored, monkeypat
     for most in (2, 10):  # changed documents joined by a shuffle, and broadcast
         monkeypatch.setattr(module, "MOST_IDS", most)
         assert table(own.missing()) == want and table(own.apply_missing().missing()) == []
+
+
+def test_places_stay_in_as_many_parts_as_are_set(spark, stored):
+    index, _ = stored
+    index = LosslessIndex.of_compact(index.compact(), IndexConfig(1.0, Algorithm.EXACT, 100))
+    assert "REPARTITION_BY_NUM" in plan(Query.parse("all").hits(index, 100))
